@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.batches import map_batches, texts_of
 
-BUCKETS, SHAPES = 1 << 18, 8
+BUCKETS, SHAPES = 1 << 18, 9
 _WORD = re.compile(r"\w+")
 _REMEMBERED: dict[str, int] = {}
 
@@ -40,10 +40,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         1.0,
         np.log1p(len(words)) / 6,
         len(set(words)) / n,
-        4 * sum(map(text.count, "#*$%&|<>")) / n,
+        min(2.0, 4 * sum(map(text.count, "#*$%&|<>")) / n),
+        min(2.0, 2 * sum(map(str.isupper, text.replace("!", "X"))) / max(1, len(text))),
         (len(lines) - len(set(lines))) / max(1, len(lines)),
         sum(map(len, words)) / n / 6,
-        4 * sum(map(str.isdigit, words)) / n,
+        min(2.0, 4 * sum(map(str.isdigit, words)) / n),
         float(len(words) < 50),
     ]
     return buckets, np.array(shapes)
@@ -67,23 +68,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(buckets: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, levels: int = 3, least: int = 5, rounds: int = 60, rate: float = 0.3, shrink: float = 2e-4) -> OrdinalModel:
+def fit(buckets: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, levels: int = 3, least: int = 10, deviations: float = 4.0, balance: float = 0.25, rounds: int = 300, rate: float = 0.6, shrink: float = 2e-4) -> OrdinalModel:
     """Batch gradient steps (Adagrad) on the likelihood, with an L1 shrinkage of the word weights.
 
-    Buckets of fewer than ``least`` documents get no weight. Classes weigh the same, whatever their share.
+    Buckets of fewer than ``least`` documents, or whose mean grade differs by less than ``deviations`` standard
+    errors, get no weight. ``balance``: 0 weighs documents alike, 1 the grades alike.
     """
     if not len(grades):
         return OrdinalModel({}, np.zeros(SHAPES), np.zeros(levels - 1))
     sizes = np.array([len(b) for b in buckets])
     flat = np.concatenate(buckets) if sizes.sum() else np.zeros(0, np.int32)
     names, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    use = seen >= least
+    # only buckets whose documents' mean grade stands apart from the rest's: the others would fit noise
+    centred = grades - grades.mean()
+    apart = np.abs(np.bincount(column, np.repeat(centred, sizes), len(names))) / np.sqrt(np.maximum(seen, 1) * max(centred.var(), 1e-9))
+    use = (seen >= least) & (apart >= deviations)
     new = np.cumsum(use) - 1
     row, column = np.repeat(np.arange(len(sizes)), sizes)[use[column]], new[column[use[column]]]
     names = names[use]
     reached = (grades[:, None] >= np.arange(1, levels)).astype(float)
     share = np.bincount(grades, minlength=levels).astype(float)
-    weight = (1 / np.maximum(share, 1))[grades]
+    weight = (1 / np.maximum(share, 1) ** balance)[grades]
     weight /= weight.sum()
     w, s, t = np.zeros(len(names)), np.zeros(SHAPES), np.linspace(-0.5, 0.5, levels - 1)
     gw, gs, gt = np.full(len(names), 1e-8), np.full(SHAPES, 1e-8), np.full(levels - 1, 1e-8)

@@ -35,35 +35,71 @@ from tracewright.session import scratch_dir
 MAGIC = b"TWIDS001"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_ids", "<u4")])
 _CHUNK = re.compile(r"[^ \t-\r]+")
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+#: Runs of Latin letters, and of what else isn't white space: a token never spans both, but for apostrophes.
+_RUN = re.compile(rf"[{_LETTERS}]+|[^ \t-\r{_LETTERS}]+")
+_NOT_PLAIN = re.compile(rf"[^\x00-\x1b\x20-\x26\x28-\x7f{_LETTERS}]")
+
+
+class _Places(dict):
+    """Gives every unit the next place when it is first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        place = self[unit] = len(self)
+        self.new.append(unit)
+        return place
 
 
 class Encoder:
-    """Ids of texts by the library; remembers up to ``remembered`` chunks between ASCII white space.
+    """Ids of texts by the library; remembers up to ``remembered`` units of text.
 
-    Holds for vocabularies that drop white space: no token spans a chunk's ends.
+    Holds for vocabularies that lower-case and drop white space: no token spans
+    a unit's ends. Units are runs of letters and of other characters in texts
+    of Latin letters without apostrophes or combining marks, and chunks between
+    ASCII white space in other texts.
     """
 
-    def __init__(self, tokenizer_json: bytes, remembered: int = 400_000):
+    def __init__(self, tokenizer_json: bytes, remembered: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has dealt the cores out
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
-        self.remembered, self.known = remembered, {}
+        self.remembered, self.known, self.table = remembered, _Places(), []
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, marks))) if marks else None
 
+    def units(self, text: str) -> list[str] | None:
+        """The text's units; None if special tokens are to be found in it."""
+        if self.special is not None and self.special.search(text):
+            return None
+        if _NOT_PLAIN.search(text):
+            return _CHUNK.findall(text)
+        return _RUN.findall(text.lower())
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = [self.special is not None and bool(self.special.search(t)) for t in texts]
-        chunks = [[] if w else _CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
-        units = {c for cs in chunks for c in cs}
-        new = units.difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = units
-        new = list(new)
+        lists = [self.units(t) for t in texts]
+        places = [None if us is None else list(map(self.known.__getitem__, us)) for us in lists]
+        new, first = self.known.new, len(self.table)
+        self.table += [b""] * len(new)
         for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [self.plain(t) if w else b"".join(map(self.known.__getitem__, cs)) for t, w, cs in zip(texts, whole, chunks, strict=True)]
+            self.learn(new[i : i + 20_000], first + i)
+        self.known.new, table = [], self.table
+        if len(table) > self.remembered:
+            self.known, self.table = _Places(), []
+        return [self.plain(t) if at is None else b"".join(map(table.__getitem__, at)) for t, at in zip(texts, places, strict=True)]
+
+    def learn(self, units: list[str], first: int) -> None:
+        """Fill the table from ``first`` on. Runs of letters are one pre-token each and go to the library as one text; the rest one by one."""
+        letters = [(u, k) for k, u in enumerate(units, first) if u.isalpha() and u.islower()]
+        e = self.tokenizer.encode(" ".join(u for u, _ in letters), add_special_tokens=False)
+        ends = np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(letters) + 1))
+        data, at = np.array(e.ids, dtype="<u4").tobytes(), (4 * ends).tolist()
+        for (_, k), a, b in zip(letters, at, at[1:]):
+            self.table[k] = data[a:b]
+        others = [(u, k) for k, u in enumerate(units, first) if not (u.isalpha() and u.islower())]
+        for (_, k), e in zip(others, self.tokenizer.encode_batch_fast([u for u, _ in others], add_special_tokens=False), strict=True):
+            self.table[k] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids

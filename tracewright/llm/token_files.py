@@ -44,7 +44,8 @@ _NOT_PLAIN = re.compile(rf"[^\x00-\x1b\x20-\x26\x28-\x7f{_LETTERS}]")
 class _Places(dict):
     """Gives every unit the next place when it is first asked for."""
 
-    def __init__(self):
+    def __init__(self, *known):
+        super().__init__(*known)
         self.new: list[str] = []
 
     def __missing__(self, unit: str) -> int:
@@ -62,7 +63,7 @@ class Encoder:
     ASCII white space in other texts.
     """
 
-    def __init__(self, tokenizer_json: bytes, remembered: int = 700_000):
+    def __init__(self, tokenizer_json: bytes, remembered: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has dealt the cores out
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.remembered, self.known, self.table = remembered, _Places(), []
@@ -86,7 +87,9 @@ class Encoder:
             self.learn(new[i : i + 20_000], first + i)
         self.known.new, table = [], self.table
         if len(table) > self.remembered:
-            self.known, self.table = _Places(), []
+            # what was met first is met most often: the first half stays
+            half = self.remembered // 2
+            self.known, self.table = _Places({u: k for u, k in self.known.items() if k < half}), table[:half]
         return [self.plain(t) if at is None else b"".join(map(table.__getitem__, at)) for t, at in zip(texts, places, strict=True)]
 
     def learn(self, units: list[str], first: int) -> None:

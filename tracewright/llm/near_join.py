@@ -6,8 +6,10 @@ link share so many of their first shingles (the prefix), and
 
 1. equal sets are one representative, and representatives with identical
    prefix and size one group;
-2. neighbours in the lists of a shingle, and members of a group with its
-   first, are verified; what links gives provisional components;
+2. neighbours in the lists of a shingle, every list with its hub (the group
+   whose prefix meets most others), and members of a group with its first are
+   verified; what links gives provisional components, which are once more held
+   against the hubs of other components' lists;
 3. only between provisional components, all pairs of groups that share enough
    prefix shingles for their sizes are expanded to members and verified.
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.batches import map_batches, texts_of
@@ -90,6 +92,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def fit(n: str, m: str, percent: int) -> Column:
+    """Whether sets of these sizes can link."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def provisional(lists: DataFrame, of_group: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their component so far; and the lists that hold several, with the most frequent one of each as main."""
+    components = connected_components(found, "a", "b").select(F.col("node").alias("rep"), "component")
+    units = staged(of_group.join(components, "rep", "left").select("rep", "gid", "n", F.coalesce("component", "rep").alias("comp")), "units")
+    postings = lists.join(units.select("gid", "comp").distinct(), "gid")
+    sizes = postings.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
+    return units, staged(postings.join(main, "token"), "mixed")
+
+
 def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep) of every row with shingles, and verified links (a, b) between representatives."""
     filled = rows.where("n > 0 and doc_id is not null")
@@ -107,24 +124,32 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     lists = staged(near.where(fits), "lists")
 
     neighbours = lists.where(100 * F.col("p_n") >= percent * F.col("n")).groupBy(F.col("p_gid").alias("a"), F.col("gid").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    # near copies are neighbours in many lists; what shares little is left to the second step
-    first = neighbours.where(100 * F.col("shared") >= 3 * F.col("n")).select("a", "b").union(of_group.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
+    # the group whose prefix meets most others is the likeliest original of a list
+    scores = lists.groupBy("gid").agg(F.count("*").alias("score"))
+    lists = staged(lists.select("token", "gid", "n").join(scores, "gid"), "scored")
+    hubs = lists.groupBy("token").agg(F.max(F.struct("score", "gid", "n")).alias("h"))
+    to_hub = lists.join(hubs, "token").where((F.col("gid") != F.col("h.gid")) & fit("n", "h.n", percent)).groupBy(F.least("gid", "h.gid").alias("a"), F.greatest("gid", "h.gid").alias("b")).agg(F.count("*").alias("shared"), F.least(F.first("n"), F.first("h.n")).alias("n"))
+    # near copies meet in many lists; what shares little is left to the later steps
+    near_pairs = neighbours.union(to_hub).where(100 * F.col("shared") >= 3 * F.col("n")).select("a", "b")
+    first = near_pairs.distinct().union(of_group.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
     first = staged(first, "pairs")
     one = staged(verified(first, shingles_of(docs, first.select(F.explode(F.array("a", "b")).alias("rep")), size), percent), "links")
 
-    found = connected_components(one, "a", "b").select(F.col("node").alias("rep"), "component")
-    units = of_group.join(found, "rep", "left").select("rep", "gid", "n", F.coalesce("component", "rep").alias("comp"))
-    units = staged(units, "units")
+    units, crossed = provisional(lists, of_group, one)
+    hubs = crossed.where("comp = main").groupBy("token").agg(F.max(F.struct("score", "gid", "n", "comp")).alias("h"))
+    again = crossed.where("comp <> main").join(hubs, "token").where(fit("n", "h.n", percent)).select("gid", "comp", F.col("h.gid").alias("hub"), F.col("h.comp").alias("hub_comp")).distinct()
+    right = units.groupBy(F.col("gid").alias("hub"), F.col("comp").alias("hub_comp")).agg(F.min("rep").alias("b"))
+    again = staged(again.join(units, ["gid", "comp"]).join(right, ["hub", "hub_comp"]).select(F.col("rep").alias("a"), "b").distinct(), "pairs")
+    more = verified(again, shingles_of(docs, again.select(F.explode(F.array("a", "b")).alias("rep")), size), percent)
+    one = staged(one.union(more), "links")
+
+    units, mixed_lists = provisional(lists, of_group, one)
     per_unit = units.select("gid", "comp").distinct()
     # groups whose members fell into several components meet in every token of theirs
     mixed = per_unit.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
     inside = units.join(mixed, "gid").select("gid", "rep", "comp")
     within = inside.alias("x").join(inside.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-    postings = lists.select("token", "gid", "n").join(per_unit, "gid")
-    sizes = postings.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
-    mixed_lists = staged(postings.join(main, "token"), "mixed")
     x = mixed_lists.where("comp <> main").alias("x")
     y = mixed_lists.alias("y")
     # members of the main component are never paired with each other

@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, language, near_join, pieces, pii, quality_model, rules, token_counts, token_files
+from tracewright.llm import decontaminate, language, near_join, pieces, pii, quality_model, rules, suffix_dedup, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -61,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_pii, op2_language_id, op3_near_duplicates, op4_sentencepiece, op6_token_counts, op7_quality_classifier, op8_token_files, op9_decontamination, op10_quality_rules)
+        for f in (op1_pii, op2_language_id, op3_near_duplicates, op4_sentencepiece, op5_suffix_dedup, op6_token_counts, op7_quality_classifier, op8_token_files, op9_decontamination, op10_quality_rules)
     }
 
 

@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.batches import map_batches, texts_of
@@ -124,7 +124,19 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, length: int, most: int, mos
     alone = stretches.join(kinds, F.col("anchor") == F.col("_anchor"), "left_anti").select(*STRETCH, F.array(F.struct(F.lit(0).alias("lo"), F.col("width").cast("int").alias("hi"))).alias("spans"))
     spans = staged(compared.unionByName(alone), "spans")
     back = met.join(spans, STRETCH).select("doc_id", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["lo"]).alias("lo"), (F.col("start") + s["hi"]).alias("hi")))).alias("s"))
-    return back.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    by_doc = back.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    return by_doc.select("doc_id", joined_runs(F.col("spans"), length).alias("spans"))
+
+
+def joined_runs(spans: Column, length: int) -> Column:
+    """Sorted runs of starts, those whose strings touch or overlap made one."""
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        wider = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))
+        return F.when((F.size(out) > 0) & (s["lo"] <= last["hi"] + length), F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<lo:int,hi:int>>"), step)
 
 
 def covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -139,7 +151,7 @@ def covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = 400, most: int = 400, most_broadcast: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def without_repeats(docs: DataFrame, length: int = 400, most: int = 4000, most_broadcast: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(all rows with n_bytes and digest, doc_id and what is left of those that lose bytes)."""
     rows = staged(marked(docs, length), "marked")
     spans = staged(repeated_spans(docs, rows, length, most, most_broadcast), "doc_spans")
@@ -162,7 +174,7 @@ def without_repeats(docs: DataFrame, length: int = 400, most: int = 400, most_br
     return rows, map_batches(both, run, "doc_id long, n_removed long, n_spans long, kept binary")
 
 
-def removed_repeats(docs: DataFrame, length: int = 400, most: int = 400) -> DataFrame:
+def removed_repeats(docs: DataFrame, length: int = 400, most: int = 4000) -> DataFrame:
     """Per row: bytes, bytes and runs removed, and the digest of what is left, over every whole text.
 
     A string also repeats where it starts elsewhere in its own text, overlaps

@@ -28,7 +28,13 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
     differs = np.append(data[:-1] != data[1:], True)
     decider = np.flatnonzero(differs)
     smaller = rises[decider[np.searchsorted(decider, np.arange(n))]]
-    direct = np.array(sorted(np.flatnonzero(smaller).tolist(), key=lambda i: text[i : i + depth]), dtype=np.int64)
+    # by first byte, so that the keys of one bucket alone are held at a time
+    direct = np.flatnonzero(smaller)
+    direct = direct[np.argsort(data[direct], kind="stable")]
+    edges = np.searchsorted(data[direct], np.arange(257)).tolist()
+    for a, b in zip(edges, edges[1:]):
+        if b - a > 1:
+            direct[a:b] = sorted(direct[a:b].tolist(), key=lambda i: text[i : i + depth])
     cuts = np.searchsorted(data[direct], np.arange(257)) if len(direct) else np.zeros(257, int)
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[data[-1]].append(np.array([n - 1]))

@@ -92,11 +92,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def closest(pairs: DataFrame, a: str, b: str, most: int = 3) -> DataFrame:
+    """Of each a, the ``most`` b that it meets most often. Only for what goes first: the last step takes all pairs."""
+    met = pairs.groupBy(a, b).agg(F.count("*").alias("_met"))
+    rank = F.row_number().over(Window.partitionBy(a).orderBy(F.desc("_met"), b))
+    return met.withColumn("_rank", rank).where(F.col("_rank") <= most).select(a, b)
+
+
 def fit(n: str, m: str, percent: int) -> Column:
     """Whether sets of these sizes can link."""
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def least_overlap(n: str, m: str, percent: int) -> Column:
+    """Shingles that sets of these sizes share at least if they link."""
+    return F.ceil((percent * (F.col(n) + F.col(m))) / F.lit(100.0 + percent) - 1e-9)
+
+
 def provisional(lists: DataFrame, of_group: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their component so far; and the lists that hold several, with the most frequent one of each as main."""
     components = connected_components(found, "a", "b").select(F.col("node").alias("rep"), "component")
@@ -117,27 +129,27 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     of_group = staged(reps.select("rep", "n", "gh").join(groups.select("n", "gh", "gid"), ["n", "gh"]).select("rep", "gid", "n"), "members")
 
     # lists of the shingles, each in the order of size; a shingle of one group gives nothing
-    listed = groups.select("gid", "n", F.explode("prefix").alias("token"))
+    listed = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     by = Window.partitionBy("token").orderBy("n", "gid")
-    near = listed.select("token", "gid", "n", F.lag("gid").over(by).alias("p_gid"), F.lag("n").over(by).alias("p_n"), F.lead("n").over(by).alias("next_n"))
+    near = listed.select("token", "gid", "n", "pos", F.lag("gid").over(by).alias("p_gid"), F.lag("n").over(by).alias("p_n"), F.lead("n").over(by).alias("next_n"))
     fits = (100 * F.col("p_n") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("next_n"))
     lists = staged(near.where(fits), "lists")
 
-    neighbours = lists.where(100 * F.col("p_n") >= percent * F.col("n")).groupBy(F.col("p_gid").alias("a"), F.col("gid").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    neighbours = lists.where(100 * F.col("p_n") >= percent * F.col("n")).select(F.col("gid").alias("a"), F.col("p_gid").alias("b"))
     # the group whose prefix meets most others is the likeliest original of a list
     scores = lists.groupBy("gid").agg(F.count("*").alias("score"))
-    lists = staged(lists.select("token", "gid", "n").join(scores, "gid"), "scored")
+    lists = staged(lists.select("token", "gid", "n", "pos").join(scores, "gid"), "scored")
     hubs = lists.groupBy("token").agg(F.max(F.struct("score", "gid", "n")).alias("h"))
-    to_hub = lists.join(hubs, "token").where((F.col("gid") != F.col("h.gid")) & fit("n", "h.n", percent)).groupBy(F.least("gid", "h.gid").alias("a"), F.greatest("gid", "h.gid").alias("b")).agg(F.count("*").alias("shared"), F.least(F.first("n"), F.first("h.n")).alias("n"))
-    # near copies meet in many lists; what shares little is left to the later steps
-    near_pairs = neighbours.union(to_hub).where(100 * F.col("shared") >= 3 * F.col("n")).select("a", "b")
+    to_hub = lists.join(hubs, "token").where((F.col("gid") != F.col("h.gid")) & fit("n", "h.n", percent)).select(F.col("gid").alias("a"), F.col("h.gid").alias("b"))
+    near_pairs = closest(neighbours.union(to_hub), "a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = near_pairs.distinct().union(of_group.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
     first = staged(first, "pairs")
     one = staged(verified(first, shingles_of(docs, first.select(F.explode(F.array("a", "b")).alias("rep")), size), percent), "links")
 
     units, crossed = provisional(lists, of_group, one)
     hubs = crossed.where("comp = main").groupBy("token").agg(F.max(F.struct("score", "gid", "n", "comp")).alias("h"))
-    again = crossed.where("comp <> main").join(hubs, "token").where(fit("n", "h.n", percent)).select("gid", "comp", F.col("h.gid").alias("hub"), F.col("h.comp").alias("hub_comp")).distinct()
+    again = crossed.where("comp <> main").join(hubs, "token").where(fit("n", "h.n", percent)).select(F.struct("gid", "comp").alias("a"), F.struct(F.col("h.gid").alias("hub"), F.col("h.comp").alias("hub_comp")).alias("b"))
+    again = closest(again, "a", "b").select("a.*", "b.*")
     right = units.groupBy(F.col("gid").alias("hub"), F.col("comp").alias("hub_comp")).agg(F.min("rep").alias("b"))
     again = staged(again.join(units, ["gid", "comp"]).join(right, ["hub", "hub_comp"]).select(F.col("rep").alias("a"), "b").distinct(), "pairs")
     more = verified(again, shingles_of(docs, again.select(F.explode(F.array("a", "b")).alias("rep")), size), percent)
@@ -156,17 +168,17 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     crossing = (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp"))
     crossing &= (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
     crossing &= 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    # the first shingle that two linked sets share leaves enough shingles after it in both
+    crossing &= (F.col("x.pos") <= F.col("x.n") - least_overlap("x.n", "y.n", percent)) & (F.col("y.pos") <= F.col("y.n") - least_overlap("x.n", "y.n", percent))
     ends = [F.struct(F.col(f"{k}.comp").alias("comp"), F.col(f"{k}.gid").alias("gid"), F.col(f"{k}.n").alias("n")) for k in "xy"]
     # a pair may meet either way round, as its lists have different main components
-    pair = x.join(y, crossing).select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q"))
-    shared = pair.groupBy(F.col("p.gid").alias("xg"), F.col("p.comp").alias("xc"), F.col("q.gid").alias("yg"), F.col("q.comp").alias("yc"), F.col("p.n").alias("n1"), F.col("q.n").alias("n2")).agg(F.count("*").alias("shared"))
-
-    def length(n):  # of a prefix
-        return n - F.floor((percent * n + 99) / 100) + 1
-
-    n1, n2 = F.col("n1"), F.col("n2")
-    overlap = F.ceil((percent * (n1 + n2)) / F.lit(100.0 + percent) - 1e-9)
-    enough = shared.where(F.col("shared") >= F.least(length(n1) - n1 + overlap, length(n2) - n2 + overlap))
+    pair = x.join(y, crossing).select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
+    pair = pair.select(F.col("p.gid").alias("xg"), F.col("p.comp").alias("xc"), F.col("q.gid").alias("yg"), F.col("q.comp").alias("yc"), F.col("p.n").alias("n1"), F.col("q.n").alias("n2"))
+    # and so many that their prefixes share a number of them
+    own = [groups.select(F.col("gid").alias(f"{k}g"), F.col("prefix").alias(f"{k}p")) for k in "xy"]
+    pair = pair.join(own[0], "xg").join(own[1], "yg").withColumn("shared", F.size(F.array_intersect("xp", "yp")))
+    overlap = least_overlap("n1", "n2", percent)
+    enough = pair.where(F.col("shared") >= F.least(F.size("xp") - F.col("n1") + overlap, F.size("yp") - F.col("n2") + overlap)).drop("xp", "yp")
     left = units.select(F.col("gid").alias("xg"), F.col("comp").alias("xc"), F.col("rep").alias("a"))
     right = units.select(F.col("gid").alias("yg"), F.col("comp").alias("yc"), F.col("rep").alias("b"))
     second = enough.join(left, ["xg", "xc"]).join(right, ["yg", "yc"]).select("a", "b").union(within)

@@ -40,3 +40,14 @@ def as_array(values, kind: pa.DataType) -> pa.Array:
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts; null reads as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
+
+
+_HELD: list = []
+
+
+def held(key, make: Callable):
+    """What a Python worker keeps from batch to batch: one object at a time, so that stages don't add up."""
+    if not _HELD or _HELD[0] != key:
+        _HELD.clear()
+        _HELD.extend((key, make()))
+    return _HELD[1]

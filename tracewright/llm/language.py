@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import map_batches, texts_of
+from tracewright.llm.batches import held, map_batches, texts_of
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,10 +47,10 @@ class LanguageModel:
         self.words = self.logs([counts[x] for x in self.languages])
         self.grams = {n: self.logs([g.get(x, {}) for x in self.languages]) for n, g in gram_counts.items()}
 
-    def logs(self, counts: list[dict[str, int]]) -> dict[str, tuple[float, ...]]:
+    def logs(self, counts: list[dict[str, int]]) -> dict[str, array]:
         size = len({k for c in counts for k in c}) + 1
         total = [math.log(sum(c.values()) + 0.5 * size) for c in counts]
-        return {k: tuple(math.log(c.get(k, 0) + 0.5) - t for c, t in zip(counts, total, strict=True)) for k in {k for c in counts for k in c}}
+        return {k: array("f", (math.log(c.get(k, 0) + 0.5) - t for c, t in zip(counts, total, strict=True))) for k in {k for c in counts for k in c}}
 
     def of_word(self, word: str) -> tuple[float, ...]:
         if (known := self.words.get(word)) is not None:
@@ -63,7 +64,7 @@ class LanguageModel:
 class Identifier:
     """Scores texts; remembers the scores of up to ``remembered`` words."""
 
-    def __init__(self, model: LanguageModel, remembered: int = 400_000):
+    def __init__(self, model: LanguageModel, remembered: int = 200_000):
         self.model, self.remembered = model, remembered
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.languages)))
@@ -104,7 +105,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = 16_000, words: int = 40_000, grams: int = 20_000) -> LanguageModel:
+def train(docs: DataFrame, sample: int = 16_000, words: int = 30_000, grams: int = 10_000) -> LanguageModel:
     """Learn from rows that have lang and aren't held out.
 
     The model is fitted on ``sample`` labelled documents or so, chosen by a
@@ -141,9 +142,6 @@ def train(docs: DataFrame, sample: int = 16_000, words: int = 40_000, grams: int
     return LanguageModel(of.pop(0, {}), {k: dict(v) for k, v in of.items()})
 
 
-_IDENTIFIERS: dict[str, Identifier] = {}
-
-
 def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ()) -> DataFrame:
     """lang_pred and score of every whole text, from the text alone.
 
@@ -156,9 +154,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ())
     rows = docs.select(*columns)
 
     def run(batch: pa.RecordBatch) -> dict:
-        if (own := _IDENTIFIERS.get(key)) is None:
-            _IDENTIFIERS.clear()
-            own = _IDENTIFIERS[key] = Identifier(told.value)
+        own = held(("identifier", key), lambda: Identifier(told.value))
         names, scores = own.predict(texts_of(batch))
         return {c: batch.column(c) for c in out} | {"lang_pred": names, "score": scores}
 

@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewright.llm.batches import map_batches, texts_of
+from tracewright.llm.batches import held, map_batches, texts_of
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -53,7 +53,7 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """A .model file: pieces, scores, kinds; identity normalization only."""
 
-    def __init__(self, data: bytes, remembered: int = 300_000):
+    def __init__(self, data: bytes, remembered: int = 200_000):
         self.pieces, self.scores, kinds = [], [], []
         self.kind, self.prefix, unknown = UNIGRAM, True, 0
         for k, v in fields(data):
@@ -162,15 +162,8 @@ class PieceModel:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_MODELS: dict[int, PieceModel] = {}
-
-
 def model_of(data: bytes) -> PieceModel:
-    """One for the life of a Python worker."""
-    if (found := _MODELS.get(hash(data))) is None:
-        _MODELS.clear()
-        found = _MODELS[hash(data)] = PieceModel(data)
-    return found
+    return held(("pieces", hash(data)), lambda: PieceModel(data))
 
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:

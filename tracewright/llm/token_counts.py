@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import map_batches, texts_of
+from tracewright.llm.batches import held, map_batches, texts_of
 
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -94,7 +94,7 @@ class RankMerger:
 class TokenCounter:
     """Counts tokens of texts; remembers up to ``remembered`` units."""
 
-    def __init__(self, tokenizer_json: str | bytes, remembered: int = 500_000):
+    def __init__(self, tokenizer_json: str | bytes, remembered: int = 400_000):
         self.merger, self.remembered = RankMerger(tokenizer_json), remembered
         self.pretokens = regex.compile(PRETOKENS)
         self.cut = re.compile("|".join(map(re.escape, self.merger.specials))) if self.merger.specials else None
@@ -125,9 +125,6 @@ class TokenCounter:
         return [sum(map(self.known.__getitem__, us)) + specials for us, specials in pieces]
 
 
-_COUNTERS: dict[int, TokenCounter] = {}
-
-
 def token_counts(docs: DataFrame, tokenizer_json: str | bytes, limit: int = 1024) -> DataFrame:
     """Byte and token counts of every whole text.
 
@@ -139,9 +136,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str | bytes, limit: int = 1024
     told = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batch: pa.RecordBatch) -> dict:
-        if (counter := _COUNTERS.get(hash(told.value))) is None:  # lives as long as the Python worker
-            _COUNTERS.clear()
-            counter = _COUNTERS[hash(told.value)] = TokenCounter(told.value)
+        counter = held(("counter", hash(told.value)), lambda: TokenCounter(told.value))
         return {"doc_id": batch.column("doc_id"), "n_tokens": counter.count(texts_of(batch))} | {"n_bytes": [len(t.encode()) for t in texts_of(batch)]}
 
     counted = map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewright.llm.batches import map_batches
+from tracewright.llm.batches import held, map_batches
 from tracewright.session import scratch_dir
 
 MAGIC = b"TWIDS001"
@@ -109,15 +109,8 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(tokenizer_json: bytes) -> Encoder:
-    """One for the life of a Python worker."""
-    if (found := _ENCODERS.get(hash(tokenizer_json))) is None:
-        _ENCODERS.clear()
-        found = _ENCODERS[hash(tokenizer_json)] = Encoder(tokenizer_json)
-    return found
+    return held(("encoder", hash(tokenizer_json)), lambda: Encoder(tokenizer_json))
 
 
 def train_dictionary(samples: list[bytes], size: int = 65_536) -> zstandard.ZstdCompressionDict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,9 +21,10 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(kind)
+    arrow, owner = to_arrow_schema(kind), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release_others(owner)
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
@@ -43,6 +46,16 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 _HELD: list = []
+_OWNER: list = [None]
+
+
+def _release_others(owner: str) -> None:
+    """Drops what another operator has left in this Python worker."""
+    if _OWNER[0] != owner:
+        _HELD.clear()
+        _OWNER[0] = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def held(key, make: Callable):

@@ -7,7 +7,7 @@ link share so many of their first shingles (the prefix), and
 1. equal sets are one representative, and representatives with identical
    prefix and size one group;
 2. neighbours in the lists of a shingle, every list with its hub (the group
-   whose prefix meets most others), and members of a group with its first are
+   that has the shingle first in its prefix), and members of a group with its first are
    verified; what links gives provisional components, which are once more held
    against the hubs of other components' lists;
 3. only between provisional components, all pairs of groups that share enough
@@ -113,7 +113,7 @@ def provisional(lists: DataFrame, of_group: DataFrame, found: DataFrame) -> tupl
     """Members with their component so far; and the lists that hold several, with the most frequent one of each as main."""
     components = connected_components(found, "a", "b").select(F.col("node").alias("rep"), "component")
     units = staged(of_group.join(components, "rep", "left").select("rep", "gid", "n", F.coalesce("component", "rep").alias("comp")), "units")
-    postings = lists.join(units.select("gid", "comp").distinct(), "gid")
+    postings = lists.select("token", "gid", "n", "pos").join(units.select("gid", "comp").distinct(), "gid")
     sizes = postings.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
     return units, staged(postings.join(main, "token"), "mixed")
@@ -136,10 +136,8 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     lists = staged(near.where(fits), "lists")
 
     neighbours = lists.where(100 * F.col("p_n") >= percent * F.col("n")).select(F.col("gid").alias("a"), F.col("p_gid").alias("b"))
-    # the group whose prefix meets most others is the likeliest original of a list
-    scores = lists.groupBy("gid").agg(F.count("*").alias("score"))
-    lists = staged(lists.select("token", "gid", "n", "pos").join(scores, "gid"), "scored")
-    hubs = lists.groupBy("token").agg(F.max(F.struct("score", "gid", "n")).alias("h"))
+    # an original has few shingles of its own, so those it shares stand first in its prefix: the hub of a list
+    hubs = lists.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("h"))
     to_hub = lists.join(hubs, "token").where((F.col("gid") != F.col("h.gid")) & fit("n", "h.n", percent)).select(F.col("gid").alias("a"), F.col("h.gid").alias("b"))
     near_pairs = closest(neighbours.union(to_hub), "a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = near_pairs.distinct().union(of_group.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
@@ -147,7 +145,7 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     one = staged(verified(first, shingles_of(docs, first.select(F.explode(F.array("a", "b")).alias("rep")), size), percent), "links")
 
     units, crossed = provisional(lists, of_group, one)
-    hubs = crossed.where("comp = main").groupBy("token").agg(F.max(F.struct("score", "gid", "n", "comp")).alias("h"))
+    hubs = crossed.where("comp = main").groupBy("token").agg(F.min(F.struct("pos", "gid", "n", "comp")).alias("h"))
     again = crossed.where("comp <> main").join(hubs, "token").where(fit("n", "h.n", percent)).select(F.struct("gid", "comp").alias("a"), F.struct(F.col("h.gid").alias("hub"), F.col("h.comp").alias("hub_comp")).alias("b"))
     again = closest(again, "a", "b").select("a.*", "b.*")
     right = units.groupBy(F.col("gid").alias("hub"), F.col("comp").alias("hub_comp")).agg(F.min("rep").alias("b"))

@@ -92,7 +92,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def closest(pairs: DataFrame, a: str, b: str, most: int = 3) -> DataFrame:
+def closest(pairs: DataFrame, a: str, b: str, most: int = 2) -> DataFrame:
     """Of each a, the ``most`` b that it meets most often. Only for what goes first: the last step takes all pairs."""
     met = pairs.groupBy(a, b).agg(F.count("*").alias("_met"))
     rank = F.row_number().over(Window.partitionBy(a).orderBy(F.desc("_met"), b))
@@ -109,6 +109,15 @@ def least_overlap(n: str, m: str, percent: int) -> Column:
     return F.ceil((percent * (F.col(n) + F.col(m))) / F.lit(100.0 + percent) - 1e-9)
 
 
+def may_link(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs of groups (xg, yg) whose prefixes share as many shingles as those of linked sets do."""
+    own = [groups.select(F.col("gid").alias(f"{k}g"), F.col("n").alias(f"{k}n"), F.col("prefix").alias(f"{k}p")) for k in "xy"]
+    both = pairs.join(own[0], "xg").join(own[1], "yg")
+    overlap = least_overlap("xn", "yn", percent)
+    least = F.least(F.size("xp") - F.col("xn") + overlap, F.size("yp") - F.col("yn") + overlap)
+    return both.where(F.size(F.array_intersect("xp", "yp")) >= least).select(*pairs.columns)
+
+
 def provisional(lists: DataFrame, of_group: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their component so far; and the lists that hold several, with the most frequent one of each as main."""
     components = connected_components(found, "a", "b").select(F.col("node").alias("rep"), "component")
@@ -139,7 +148,8 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     # an original has few shingles of its own, so those it shares stand first in its prefix: the hub of a list
     hubs = lists.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("h"))
     to_hub = lists.join(hubs, "token").where((F.col("gid") != F.col("h.gid")) & fit("n", "h.n", percent)).select(F.col("gid").alias("a"), F.col("h.gid").alias("b"))
-    near_pairs = closest(neighbours.union(to_hub), "a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near_pairs = closest(neighbours.union(to_hub), "a", "b").select(F.least("a", "b").alias("xg"), F.greatest("a", "b").alias("yg")).distinct()
+    near_pairs = may_link(near_pairs, groups, percent).select("xg", "yg")
     first = near_pairs.distinct().union(of_group.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
     first = staged(first, "pairs")
     one = staged(verified(first, shingles_of(docs, first.select(F.explode(F.array("a", "b")).alias("rep")), size), percent), "links")
@@ -147,7 +157,8 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     units, crossed = provisional(lists, of_group, one)
     hubs = crossed.where("comp = main").groupBy("token").agg(F.min(F.struct("pos", "gid", "n", "comp")).alias("h"))
     again = crossed.where("comp <> main").join(hubs, "token").where(fit("n", "h.n", percent)).select(F.struct("gid", "comp").alias("a"), F.struct(F.col("h.gid").alias("hub"), F.col("h.comp").alias("hub_comp")).alias("b"))
-    again = closest(again, "a", "b").select("a.*", "b.*")
+    again = closest(again, "a", "b").select(F.col("a.gid").alias("xg"), F.col("a.comp").alias("comp"), F.col("b.hub").alias("yg"), F.col("b.hub_comp").alias("hub_comp"))
+    again = may_link(again, groups, percent).withColumnsRenamed({"xg": "gid", "yg": "hub"})
     right = units.groupBy(F.col("gid").alias("hub"), F.col("comp").alias("hub_comp")).agg(F.min("rep").alias("b"))
     again = staged(again.join(units, ["gid", "comp"]).join(right, ["hub", "hub_comp"]).select(F.col("rep").alias("a"), "b").distinct(), "pairs")
     more = verified(again, shingles_of(docs, again.select(F.explode(F.array("a", "b")).alias("rep")), size), percent)
@@ -171,12 +182,9 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     ends = [F.struct(F.col(f"{k}.comp").alias("comp"), F.col(f"{k}.gid").alias("gid"), F.col(f"{k}.n").alias("n")) for k in "xy"]
     # a pair may meet either way round, as its lists have different main components
     pair = x.join(y, crossing).select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
-    pair = pair.select(F.col("p.gid").alias("xg"), F.col("p.comp").alias("xc"), F.col("q.gid").alias("yg"), F.col("q.comp").alias("yc"), F.col("p.n").alias("n1"), F.col("q.n").alias("n2"))
+    pair = pair.select(F.col("p.gid").alias("xg"), F.col("p.comp").alias("xc"), F.col("q.gid").alias("yg"), F.col("q.comp").alias("yc"))
     # and so many that their prefixes share a number of them
-    own = [groups.select(F.col("gid").alias(f"{k}g"), F.col("prefix").alias(f"{k}p")) for k in "xy"]
-    pair = pair.join(own[0], "xg").join(own[1], "yg").withColumn("shared", F.size(F.array_intersect("xp", "yp")))
-    overlap = least_overlap("n1", "n2", percent)
-    enough = pair.where(F.col("shared") >= F.least(F.size("xp") - F.col("n1") + overlap, F.size("yp") - F.col("n2") + overlap)).drop("xp", "yp")
+    enough = may_link(pair, groups, percent)
     left = units.select(F.col("gid").alias("xg"), F.col("comp").alias("xc"), F.col("rep").alias("a"))
     right = units.select(F.col("gid").alias("yg"), F.col("comp").alias("yc"), F.col("rep").alias("b"))
     second = enough.join(left, ["xg", "xc"]).join(right, ["yg", "yc"]).select("a", "b").union(within)

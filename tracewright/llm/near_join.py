@@ -149,7 +149,7 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     hubs = lists.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("h"))
     to_hub = lists.join(hubs, "token").where((F.col("gid") != F.col("h.gid")) & fit("n", "h.n", percent)).select(F.col("gid").alias("a"), F.col("h.gid").alias("b"))
     near_pairs = closest(neighbours.union(to_hub), "a", "b").select(F.least("a", "b").alias("xg"), F.greatest("a", "b").alias("yg")).distinct()
-    near_pairs = may_link(near_pairs, groups, percent).select("xg", "yg")
+    near_pairs = may_link(near_pairs, groups, percent).withColumnsRenamed({"xg": "a", "yg": "b"})
     first = near_pairs.distinct().union(of_group.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
     first = staged(first, "pairs")
     one = staged(verified(first, shingles_of(docs, first.select(F.explode(F.array("a", "b")).alias("rep")), size), percent), "links")

@@ -14,7 +14,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -53,7 +55,7 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """A .model file: pieces, scores, kinds; identity normalization only."""
 
-    def __init__(self, data: bytes, remembered: int = 200_000):
+    def __init__(self, data: bytes, remembered: int = 400_000):
         self.pieces, self.scores, kinds = [], [], []
         self.kind, self.prefix, unknown = UNIGRAM, True, 0
         for k, v in fields(data):
@@ -73,7 +75,6 @@ class PieceModel:
             raise ValueError("only unigram and BPE models without user-defined pieces are read")
         self.unknown = kinds.index(2) if 2 in kinds else unknown
         self.of_byte = {int(self.pieces[i][1:-1], 16): i for i, k in enumerate(kinds) if k == BYTE}
-        self.byte_of = {i: b for b, i in self.of_byte.items()}
         self.id_of = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id_of.items():
@@ -81,7 +82,9 @@ class PieceModel:
         self.automaton.make_automaton()
         single = "".join(re.escape(p) for p in self.id_of if len(p) == 1)
         self.known_run = re.compile(f"[{single}]+|[^{single}]+")
-        self.controls = {i for i, k in enumerate(kinds) if k not in (NORMAL, BYTE)}
+        self.written = [p.replace(SPACE, " ").encode() if k == NORMAL else b"" for p, k in zip(self.pieces, kinds, strict=True)]
+        for b, i in self.of_byte.items():
+            self.written[i] = bytes([b])
         self.pairs: dict[tuple[int, int], bool] = {}
         self.remembered: dict[str, tuple[int, ...]] = {}
         self.limit = remembered
@@ -138,8 +141,8 @@ class PieceModel:
                     own += [self.of_byte[b] for b in run.encode()]
                 else:
                     own += [self.unknown] * len(run)
-            if len(self.remembered) >= self.limit:
-                self.remembered.clear()
+            if len(self.remembered) >= self.limit:  # what was met first is met most often: the first half stays
+                self.remembered = dict(islice(self.remembered.items(), self.limit // 2))
             ids = self.remembered[unit] = tuple(own)
         return ids
 
@@ -152,13 +155,7 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids. Exact for texts that don't hold U+2581, which stands for a space."""
-        parts = []
-        for i in ids:
-            if i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif i not in self.controls:
-                parts.append(self.pieces[i].replace(SPACE, " ").encode())
-        text = b"".join(parts).decode("utf-8", "replace")
+        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -201,7 +198,7 @@ def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
         return {
             "doc_id": batch.column("doc_id"),
             "n_tokens": [len(i) for i in ids],
-            "ids_crc32": [zlib.crc32(struct.pack(f"<{len(i)}I", *i)) for i in ids],
+            "ids_crc32": [zlib.crc32(array("I", i)) for i in ids],
             "returns": [own.decode(i) == t for i, t in zip(ids, texts, strict=True)],
         }
 

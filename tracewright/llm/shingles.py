@@ -79,9 +79,9 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
             if cuts[i + 1] > cuts[i]:
                 yield np.unique(made[cuts[i] : cuts[i + 1]])
             elif counts[i + 1] > counts[i]:
-                own = U(0)
-                for k, w in enumerate(words[counts[i] : counts[i + 1]]):
-                    own = mixed(np.array([own + w + U(k + 101)], dtype=U))[0]
-                yield np.array([own], dtype=U)
+                own = np.zeros(1, dtype=U)
+                for k in range(counts[i], counts[i + 1]):
+                    own = mixed(own + words[k : k + 1] + U(k - counts[i] + 101))
+                yield own
             else:
                 yield np.zeros(0, dtype=U)

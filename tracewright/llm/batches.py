@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,21 +16,34 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 ROWS = 512
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> DataFrame:
-    """``fn`` turns each record batch into a dict of columns (lists, numpy or Arrow arrays)."""
+def map_iterators(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``fn`` turns the batches of a partition, of ROWS rows at most, into others; memory that it frees goes back to the system."""
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
-    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
-    arrow, owner = to_arrow_schema(kind), uuid.uuid4().hex
+    owner = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _release_others(owner)
+        try:
+            yield from fn(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> DataFrame:
+    """``fn`` turns each record batch into a dict of columns (lists, numpy or Arrow arrays)."""
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return map_iterators(df, run, kind)
 
 
 def as_array(values, kind: pa.DataType) -> pa.Array:
@@ -55,7 +69,14 @@ def _release_others(owner: str) -> None:
         _HELD.clear()
         _OWNER[0] = owner
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        _trim()
+
+
+def _trim() -> None:
+    """Returns freed memory to the system, as a worker idles while later stages run in the JVM alone."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
 
 
 def held(key, make: Callable):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import map_batches, texts_of
+from tracewright.llm.batches import map_batches, map_iterators, texts_of
 from tracewright.llm.shingles import shingle_sets
 from tracewright.operators.components import connected_components
 from tracewright.session import staged
@@ -45,7 +45,7 @@ def cell_counts(docs: DataFrame, size: int) -> np.ndarray:
         if len(cells):
             yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int32()), "n": pa.array(total[cells], pa.int64())})
 
-    each = docs.select("text").mapInArrow(count, "cell int, n long")
+    each = map_iterators(docs.select("text"), count, "cell int, n long")
     total = np.zeros(1 << CELL_BITS, dtype=np.int64)
     found = each.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     total[found["cell"].to_numpy()] = found["n"].to_numpy()

@@ -11,7 +11,7 @@ BASE, SECOND = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93)
 _TABLE = np.random.default_rng(20_231).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of text hashed at a time; a longer text alone is taken whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,3 +24,11 @@ def test_planted_menu_line_is_removed(spark):
     assert got[101] == (False, 0, None) and got[102] == (False, 0, "")
     # half of the words are gone; under 50 are left
     assert not got[104][0] and got[104][2] == prose(400, 52) and not got[105][0] and got[105][2] == prose(500, 45)
+
+
+def test_limit_is_the_same_in_a_large_host(spark):
+    menu = " ".join(f"menu{chr(97 + j)}" for j in range(40))
+    rows = [(i, f"{prose(i)}\n{menu}", host) for host, first in (("large", 0), ("small", 20)) for i in range(first, first + 10)]
+    rows += [(1000 + i, f"{prose(100 + i, 1)} alone", "large") for i in range(2_500)]
+    got = rows_of(rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")), "kept", "n_boilerplate_words")
+    assert {got[i] for i in range(30) if i in got} == {(False, 40)} and got[1000] == (False, 0)

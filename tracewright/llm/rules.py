@@ -84,18 +84,18 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def boilerplate(lines: DataFrame, hosts: DataFrame, least: int, share: float) -> DataFrame:
-    """(host, h) of the lines that at least ``least`` documents of the host hold, and ``share`` of its documents."""
+def boilerplate(lines: DataFrame, least: int) -> DataFrame:
+    """(host, h) of the lines that at least ``least`` documents of the host hold, however many it has."""
     counted = lines.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
-    return counted.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("docs") >= share * F.col("host_docs")).select(F.col("host").alias("b_host"), F.col("h").alias("b_h"))
+    return counted.select(F.col("host").alias("b_host"), F.col("h").alias("b_h"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", least: int = 10, share: float = 0.005, depleted: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", least: int = 10, depleted: float = 0.5) -> DataFrame:
     """Measures of every whole text, the base verdict, the text without boilerplate lines, and the verdict on what is left.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word
-    windows. text: without the lines that are boilerplate in the host, all
-    else as it was. kept: not base_failed, at least 50 words are left, and
+    windows. text: without the lines that ``least`` documents of the host
+    hold, all else as it was. kept: not base_failed, at least 50 words are left, and
     those removed are at most ``depleted`` of all. A line counts once a
     document, however often it stands there, and goes wherever it stands. Null
     and empty texts have no words and fail; rows without a host are a host of
@@ -105,8 +105,7 @@ def quality_rules(docs: DataFrame, host: str = "source", least: int = 10, share:
     held = staged(docs.select(*text_key(host), line_hashes(F.coalesce("text", F.lit(""))).alias("lines")), "lines")
     # one row for each document and line, made within the row: no shuffle by document
     distinct = held.select("host", "t1", "t2", F.explode("lines").alias("h"))
-    hosts = held.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_docs"))
-    common = boilerplate(distinct.select("host", "h"), hosts, least, share)
+    common = boilerplate(distinct.select("host", "h"), least)
     lost = distinct.join(common, F.col("host").eqNullSafe(F.col("b_host")) & (F.col("h") == F.col("b_h")))
     lost = lost.groupBy(F.col("host").alias("l_host"), F.col("t1").alias("l_t1"), F.col("t2").alias("l_t2")).agg(F.collect_set("h").alias("lost"))
     same = F.col("host").eqNullSafe(F.col("l_host")) & (F.col("t1") == F.col("l_t1")) & (F.col("t2") == F.col("l_t2"))

@@ -228,6 +228,12 @@ def cycles3(spark, d):
     return audit.cycles3(detectors.ledger_edges(branch))
 
 
+@query(f"""with e as (select distinct src::varchar as s, dst::varchar as t from {LEDGER} where ok and src <> dst)
+  select x.s as a, x.t as b, y.t as c from e x join e y on x.t = y.s join e z on z.s = y.t and z.t = x.s where x.s < x.t and x.s < y.t and x.t <> y.t""")
+def cycles3_whole_ledger(spark, d):
+    return audit.cycles3(detectors.ledger_edges(ad.ledger(spark, d)))
+
+
 @query("select case when l_extendedprice >= 9000 and l_extendedprice < 10000 then '9000-10000' else '45000-50000' end as band, count(*) as n from lineitem where (l_extendedprice >= 9000 and l_extendedprice < 10000) or (l_extendedprice >= 45000 and l_extendedprice < 50000) group by 1")
 def structuring_bands(spark, d):
     return audit.structuring(ad.table(spark, d, "lineitem"), "l_extendedprice")

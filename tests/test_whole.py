@@ -20,3 +20,12 @@ def test_cycles_of_all_accounts(spark):
     got = [tuple(r) for r in plans.QUERIES["cycles3_whole_ledger"](spark, SF).select("a", "b", "c").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert len(want) > len(plans.QUERIES["cycles3"](spark, SF).collect())
+
+
+def test_all_narrations_are_classified(spark, tmp_path):
+    texts = ["Zahlung für Miete upi Jürgen@bank", None, "plain neft a.b-c@ok", "東京 ATM", "nothing"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, plans.QUERIES["classify_all_narrations"](spark, str(tmp_path)).collect()))
+    assert got == [(0, "UPI", "rgen@bank"), (1, "OTHER", None), (2, "NEFT", "a.b-c@ok"), (3, "ATM", None), (4, "OTHER", None)]
+    whole = plans.QUERIES["classify_all_narrations"](spark, SF)
+    assert whole.count() == spark.read.parquet(f"{SF}/documents.parquet").count() > plans.QUERIES["classify_narrations"](spark, SF).count()

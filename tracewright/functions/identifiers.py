@@ -69,9 +69,10 @@ def upi_phone_handle(c: Column | str) -> Column:
     return F.nullif(F.regexp_extract(_col(c), "^([0-9]{10})@", 1), F.lit(""))
 
 
-def extract_upi(narration: Column | str) -> Column:
-    """The first handle, lower case; greedy over - and . as narrations are written."""
-    return F.lower(F.nullif(F.regexp_extract(_col(narration), r"(?U)[\w.-]+@[\w.-]+", 0), F.lit("")))
+def extract_upi(narration: Column | str, ascii_only: bool = False) -> Column:
+    """The first handle, lower case; greedy over - and . as narrations are written. ``ascii_only``: of A-Z, a-z, 0-9, _, . and - alone."""
+    pattern = r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+" if ascii_only else r"(?U)[\w.-]+@[\w.-]+"
+    return F.lower(F.nullif(F.regexp_extract(_col(narration), pattern, 0), F.lit("")))
 
 
 def transaction_type(narration: Column | str, word_boundary: bool = False) -> Column:

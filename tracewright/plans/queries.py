@@ -76,6 +76,11 @@ def classify_narrations(spark, d):
     return docs.select("doc_id", ids.transaction_type("text").alias("kind"), ids.extract_upi("text").alias("handle"))
 
 
+@query(f"select doc_id, {keyword_sql('text')} as kind, nullif(lower(regexp_extract(text, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+')), '') as handle from documents")
+def classify_all_narrations(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", ids.transaction_type("text").alias("kind"), ids.extract_upi("text", ascii_only=True).alias("handle"))
+
+
 @query("""with x as (select l_orderkey as id, l_linenumber as line, l_partkey as part, case when l_partkey % 3 = 0 then '(' || l_quantity::bigint::varchar || ',000.50)' when l_partkey % 3 = 1 then '₹' || l_quantity::bigint::varchar else 'n/a' end as w from lineitem)
   , y as (select *, case when part % 3 = 0 then -(replace(replace(split_part(w, ')', 1), '(', ''), ',', '')::double) when part % 3 = 1 then replace(w, '₹', '')::double else 0.0 end as withdrawal from x)
   select id, line, part, withdrawal, case when withdrawal > 0 then -withdrawal when 5.0 > 0 then 5.0 else 0 end as signed from y""")

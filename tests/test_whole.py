@@ -29,3 +29,37 @@ def test_all_narrations_are_classified(spark, tmp_path):
     assert got == [(0, "UPI", "rgen@bank"), (1, "OTHER", None), (2, "NEFT", "a.b-c@ok"), (3, "ATM", None), (4, "OTHER", None)]
     whole = plans.QUERIES["classify_all_narrations"](spark, SF)
     assert whole.count() == spark.read.parquet(f"{SF}/documents.parquet").count() > plans.QUERIES["classify_narrations"](spark, SF).count()
+
+
+def test_entities_of_all_rows(spark):
+    rows = lines("l_orderkey, l_linenumber, l_partkey, o_custkey")
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for *_, part, customer in rows:
+        parent[root(f"phone:{customer}")] = root(f"imei:{part}")
+    members = {}
+    for x in list(parent):
+        members.setdefault(root(x), []).append(x)
+    name = {r: min(x for x in m if x.startswith("phone:")) for r, m in members.items()}
+    got = [tuple(r) for r in plans.QUERIES["entity_components_whole"](spark, SF).select("kind", "value", "entity_id").collect()]
+    assert sorted(got) == sorted((*x.split(":"), name[root(x)]) for x in parent)
+    count = lambda m, kind: sum(x.startswith(kind) for x in m)
+    got = [tuple(r) for r in plans.QUERIES["entity_profile_whole"](spark, SF).select("entity_id", "phones", "imeis").collect()]
+    assert sorted(got) == sorted((name[r], count(m, "phone:"), count(m, "imei:")) for r, m in members.items())
+    got = [tuple(r) for r in plans.QUERIES["cascade_lookup_whole"](spark, SF).select("id", "line", "part", "entity_id").collect()]
+    assert sorted(got) == sorted((o, n, part, name[root(f"phone:{customer}")]) for o, n, part, customer in rows)
+
+
+def test_farms_of_all_rows(spark):
+    sims = {}
+    for part, customer in lines("l_partkey, o_custkey"):
+        sims.setdefault(str(part), set()).add(customer)
+    got = plans.QUERIES["device_farms_whole_top50"](spark, SF).collect()
+    assert len(got) == 50 and all(r["sim_count"] == len(sims[r["imei"]]) for r in got)

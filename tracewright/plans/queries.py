@@ -113,10 +113,18 @@ def mule_accounts_top50(spark, d):
     return detectors.mule_accounts(detectors.ledger_edges(ad.ledger(spark, d)), neighbours=False)
 
 
-@query(f"""with g as (select imei, count(distinct msisdn) as sim_count, count(*) filter (cdr) as cdr_count, count(*) filter (not cdr) as ipdr_count, count(msisdn) as total_record_count from {PAIRS} group by imei)
+FARMS = f"""with g as (select imei, count(distinct msisdn) as sim_count, count(*) filter (cdr) as cdr_count, count(*) filter (not cdr) as ipdr_count, count(msisdn) as total_record_count from {PAIRS} group by imei)
   select *, case when sim_count >= 6 then 'critical' when sim_count >= 4 then 'high' when sim_count >= 3 then 'medium' else 'low' end as risk_tier,
-  case when sim_count > 1 then round(power(sim_count - 1.0, 1.8) * ln(1 + total_record_count::double), 4) else 0.0 end as risk_score from g order by risk_score desc, imei limit 50""")
+  case when sim_count > 1 then round(power(sim_count - 1.0, 1.8) * ln(1 + total_record_count::double), 4) else 0.0 end as risk_score from g order by risk_score desc, imei limit 50"""
+
+
+@query(FARMS)
 def device_farms_top50(spark, d):
+    return detectors.device_farms(ad.device_pairs(spark, d, "l_quantity >= 48"), lists=False)
+
+
+@query(FARMS.replace(" where l_quantity >= 48", ""))
+def device_farms_whole_top50(spark, d):
     return detectors.device_farms(ad.device_pairs(spark, d), lists=False)
 
 
@@ -178,6 +186,8 @@ def hideouts(spark, d):
     return found.select("cluster_id", "day", "point_count", "unique_entity_count", F.round("center_lat", 6).alias("center_lat"), F.round("center_lon", 6).alias("center_lon"), F.round("time_span_hours", 2).alias("time_span_hours"), F.size("events").alias("n_events"))
 
 
+#: The rows of lineitem that the SQL of the components reads.
+SOME_EDGES = "l_quantity = 50 and l_discount <= 0.05"
 COMPONENTS = """with recursive e as (select distinct 'phone:' || o_custkey as a, 'imei:' || l_partkey as b from lineitem join orders on l_orderkey = o_orderkey where l_quantity = 50 and l_discount <= 0.05),
   u as (select a, b from e union select b, a from e), r(node, seen) as (select a, a from u union select r.node, u.b from r join u on r.seen = u.a),
   c as (select node, coalesce(min(seen) filter (seen like 'phone:%'), min(seen)) as entity_id, count(*) as size from r group by node)"""
@@ -185,24 +195,46 @@ COMPONENTS = """with recursive e as (select distinct 'phone:' || o_custkey as a,
 
 @query(COMPONENTS + " select split_part(node, ':', 1) as kind, split_part(node, ':', 2) as value, entity_id from c")
 def entity_components(spark, d):
-    return entities.entity_map(ad.identity_edges(spark, d))
+    return entities.entity_map(ad.identity_edges(spark, d, SOME_EDGES))
+
+
+def profile(mapped: DataFrame) -> DataFrame:
+    return mapped.groupBy("entity_id").agg(F.count_if(F.col("kind") == "phone").alias("phones"), F.count_if(F.col("kind") == "imei").alias("imeis"))
 
 
 @query(COMPONENTS + " select entity_id, count(*) filter (node like 'phone:%') as phones, count(*) filter (node like 'imei:%') as imeis from c group by entity_id")
 def entity_profile(spark, d):
-    mapped = entities.entity_map(ad.identity_edges(spark, d))
-    return mapped.groupBy("entity_id").agg(F.count_if(F.col("kind") == "phone").alias("phones"), F.count_if(F.col("kind") == "imei").alias("imeis"))
+    return profile(entities.entity_map(ad.identity_edges(spark, d, SOME_EDGES)))
 
 
 @query(COMPONENTS + """, m as (select node, entity_id from c) select l_orderkey as id, l_linenumber as line, l_partkey as part, coalesce(p.entity_id, i.entity_id) as entity_id
   from (select * from lineitem where l_quantity = 50) join orders on l_orderkey = o_orderkey left join m p on p.node = 'phone:' || o_custkey left join m i on i.node = 'imei:' || l_partkey""")
 def cascade_lookup(spark, d):
-    mapped = entities.entity_map(ad.identity_edges(spark, d))
-    rows = ad.table(spark, d, "lineitem").where("l_quantity = 50").join(ad.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return looked_up(spark, d, entities.entity_map(ad.identity_edges(spark, d, SOME_EDGES)), "l_quantity = 50")
+
+
+def looked_up(spark: SparkSession, d: str, mapped: DataFrame, only: str = "true") -> DataFrame:
+    rows = ad.table(spark, d, "lineitem").where(only).join(ad.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("o_custkey").cast("string").alias("phone"), F.col("l_partkey").cast("string").alias("imei"))
     return entities.lookup(rows, mapped, [("phone", "phone"), ("imei", "imei")]).drop("phone", "imei")
 
 
+# over all rows, where recursive SQL is too slow: tests/test_whole.py has brute force
+@query()
+def entity_components_whole(spark, d):
+    return entities.entity_map(ad.identity_edges(spark, d))
+
+
+@query()
+def entity_profile_whole(spark, d):
+    return profile(entities.entity_map(ad.identity_edges(spark, d)))
+
+
+@query()
+def cascade_lookup_whole(spark, d):
+    return looked_up(spark, d, entities.entity_map(ad.identity_edges(spark, d)))
+
+
 @query()
 def fuzzy_name_pairs(spark, d):
     parts = ad.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))

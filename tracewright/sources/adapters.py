@@ -27,8 +27,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(src.alias("src"), dst.alias("dst"), F.col("l_extendedprice").alias("amount"), status.alias("status"), F.col("o_orderdate").alias("ts"), F.concat(F.lit("bank"), (src % 7).cast("string")).alias("src_bank"), F.concat(F.lit("bank"), (dst % 7).cast("string")).alias("dst_bank"), F.col("l_orderkey").alias("id"))
 
 
-def device_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_orderkey", "l_partkey", "l_linestatus")
+def device_pairs(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where(only).select("l_orderkey", "l_partkey", "l_linestatus")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").cast("string").alias("imei"), F.col("o_custkey").cast("string").alias("msisdn"), F.when(F.col("l_linestatus") == "O", "cdr").otherwise("ipdr").alias("source"))
 
@@ -38,7 +38,7 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), "ts", (8 + (29 * k % 2900) / 100.0).alias("lat"), (68 + ((53 * k + F.col("user_id")) % 2900) / 100.0).alias("lon"), F.lit("cdr").alias("source"), F.col("event_id"))
 
 
-def identity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount <= 0.05").select("l_orderkey", "l_partkey")
+def identity_edges(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where(only).select("l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("phone:"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("imei:"), F.col("l_partkey").cast("string")).alias("dst")).distinct()

@@ -33,8 +33,8 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """hash, size, item_id and words of each distinct window; an item shorter than ``window`` is one window; null has none."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n > 0 and item_id is not null")
+    """hash, size, item_id and words of each distinct window; an item shorter than ``window`` is one window; a null text has none."""
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
     items = items.withColumn("size", F.least("n", F.lit(window)))
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most ``window`` numbers
     hashed = with_window_hashes(items, "words", sorted(sizes))
@@ -82,8 +82,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     """Per row of ``docs``: words, words inside an occurring window, items with occurring windows, and the verdict.
 
     Null and empty texts have no words and are clean; repeated rows are
-    judged each; items that share a window all count; a benchmark without
-    words leaves all clean; extra columns are ignored.
+    judged each; items that share a window all count, those without item_id
+    only in n_hit and the verdict; a benchmark without words leaves all clean; extra columns are ignored.
     """
     found = hits(docs, benchmark, window, broadcast_bytes)
     one = F.when(F.col("at") > 0, F.struct("at", "size"))
@@ -99,21 +99,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     )
 
 
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with 128 bits of hashes of text: equal texts are judged alike, whatever their doc_id."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)})
+
+
+def found_by_text(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    return hits(with_text_key(docs.select("doc_id", "text")), benchmark, window, keep=("_t1", "_t2")).where("at > 0")
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the contaminated ones; rows without doc_id stay. All columns as they were."""
-    dirty = hits(docs, benchmark, window).where("at > 0").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the contaminated rows, with or without doc_id. All columns as they were."""
+    dirty = found_by_text(docs, benchmark, window).select("_t1", "_t2").distinct()
+    return with_text_key(docs).join(dirty, ["_t1", "_t2"], "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with the words inside benchmark windows, and what follows each up to the next word, cut out of text."""
     text = F.coalesce("text", F.lit(""))
-    found = hits(docs.select("doc_id", "text"), benchmark, window).where("at > 0")
-    cut = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("_cut"))
+    found = found_by_text(docs, benchmark, window)
+    cut = found.groupBy("_t1", "_t2").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("_cut"))
     word = SEPARATORS[:-1].replace("[", "[^", 1).replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60") + "+"
     gap = word[:-1].replace("[^", "[", 1) + "*"
     units = F.regexp_extract_all(text, F.lit(f"{word}{gap}"), F.lit(0))
     lead = F.regexp_extract(text, f"^{gap}", 0)
     kept = F.array_join(F.filter(F.col("_units"), lambda u, i: ~F.array_contains(F.col("_cut"), i + 1)), "")
-    joined = docs.join(cut, "doc_id", "left").withColumn("_units", F.when(F.col("_cut").isNotNull(), units))
+    joined = with_text_key(docs).join(cut, ["_t1", "_t2"], "left").withColumn("_units", F.when(F.col("_cut").isNotNull(), units))
     return joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat(lead, kept))).select(*docs.columns)

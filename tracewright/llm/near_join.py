@@ -212,6 +212,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each component, the smallest doc_id; rows without doc_id stay."""
-    found = near_duplicates(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component: the smallest doc_id, or any row if none has one. Repeated rows are near copies too."""
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), size, percent).where("doc_id <> component_id")
+    found = staged(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "copies")
+    grouped = found.union(found.select("_group", "_group").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    kept = rows.select("_row", "doc_id").join(grouped, "_row").groupBy("_group").agg(F.min(order).alias("o")).select(F.col("o.row").alias("_row"))
+    lost = grouped.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(lost, "_row", "left_anti").select(*docs.columns)

@@ -138,10 +138,11 @@ def judged(kind: str, order: int, base: bool):
     return span
 
 
-def spans_with_votes(docs: DataFrame) -> DataFrame:
-    """Per row: spans (order, kind, start, end, base, votes, length class), base ones valid, others candidates."""
+def spans_with_votes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: spans (order, kind, start, end, base, votes, length class), base ones valid, others candidates. ``keep``: columns to carry in ``own``."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
+    own = [F.struct(*keep).alias("own")] if keep else []
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *own, text.alias("text"))
     for kind, _, pattern, needs, _ in KINDS:
         may = F.col("text").rlike("[0-9]") if kind in ("card", "ip", "phone", "phone_local", "id_number") else F.lit(True)
         if needs and len(needs) == 1:
@@ -154,7 +155,7 @@ def spans_with_votes(docs: DataFrame) -> DataFrame:
             may = F.col("text").rlike(r"[0-9][\x20-]?[0-9]")
         rows = rows.withColumn(f"_{kind}", F.when(may, matches(F.col("text"), pattern)))
     every = [F.coalesce(F.transform(f"_{kind}", judged(kind, order, base)), F.array().cast(SPANS)) for kind, order, _, _, base in KINDS]
-    return rows.select("row", "doc_id", F.concat(*every).alias("spans"))
+    return rows.select("row", "doc_id", *(["own"] if keep else []), F.concat(*every).alias("spans"))
 
 
 @dataclass
@@ -231,13 +232,13 @@ def train(spans: DataFrame) -> SpanModel:
     return expectation_maximisation(sorted(tuple(r) for r in counts.collect()))
 
 
-def find(docs: DataFrame, model: SpanModel | None = None, least: float = 0.5) -> DataFrame:
-    """Per row: its spans (order, kind, start, end, base), base and accepted ones, by start and kind."""
-    spans = staged(spans_with_votes(docs), "spans")
+def find(docs: DataFrame, model: SpanModel | None = None, least: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: its spans (order, kind, start, end, base), base and accepted ones, by start and kind; columns to ``keep`` in ``own``."""
+    spans = staged(spans_with_votes(docs, keep), "spans")
     model = model or train(spans)
     chosen = F.filter("spans", lambda s: s["base"] | (~s["v_regex"].eqNullSafe(F.lit(-1)) & (model.probability(s) >= least)))
     plain = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))
-    return spans.select("row", "doc_id", F.sort_array(plain).alias("spans"))
+    return spans.select("row", "doc_id", *(["own"] if keep else []), F.sort_array(plain).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -261,14 +262,14 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in text replaced by [kind], overlapping spans as one under the first's kind. Needs doc_id to be unique."""
-    spans = find(docs.select("doc_id", "text")).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    """``docs`` with every span in text replaced by [kind], overlapping spans as one under the first's kind. A row each, whatever its doc_id."""
+    found = find(docs, keep=tuple(docs.columns)).select("own", F.col("own.text").alias("text"), "spans")
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         gap = F.when(s["start"] >= a["at"], F.concat(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap).alias("out"))
 
-    cut = F.aggregate("_spans", empty, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    joined_rows = docs.join(spans, F.col("doc_id") == F.col("_id"), "left")
-    return joined_rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    cut = F.aggregate("spans", empty, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(cut).alias("text")
+    return found.select(*(text if c == "text" else F.col("own")[c].alias(c) for c in docs.columns))

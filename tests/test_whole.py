@@ -63,3 +63,16 @@ def test_farms_of_all_rows(spark):
         sims.setdefault(str(part), set()).add(customer)
     got = plans.QUERIES["device_farms_whole_top50"](spark, SF).collect()
     assert len(got) == 50 and all(r["sim_count"] == len(sims[r["imei"]]) for r in got)
+
+
+def test_risk_has_all_five_parts(spark):
+    got = {r["entity_id"]: r for r in plans.QUERIES["entity_risk_whole"](spark, SF).collect()}
+    for part in ("fusion", "mule", "farm", "travel", "hideout"):
+        assert any(r[part] > 0 for r in got.values()), part
+    assert all(abs(r["score"] - sum(r[p] for p in ("fusion", "mule", "farm", "travel", "hideout"))) < 0.02 for r in got.values())
+    for r in plans.QUERIES["mule_accounts_top50"](spark, SF).collect():
+        assert abs(got[r["account"]]["mule"] - r["risk_score"]) < 1e-6
+    for r in plans.QUERIES["entity_risk"](spark, SF).collect():
+        assert (got[r["entity_id"]]["fusion"], got[r["entity_id"]]["travel"]) == (r["fusion"], r["travel"])
+    dossier = plans.QUERIES["entity_dossier"](spark, SF).where("report not like '%shared places: 0.00%'")
+    assert dossier.count() > 0

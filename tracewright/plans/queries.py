@@ -388,9 +388,21 @@ def entity_risk(spark, d):
     return entities.entity_risk(fusion, none, none, travel, none)
 
 
+# customers, users and phones have the same numbers, as in phone_overlap; account n is that of entity n
+@query()
+def entity_risk_whole(spark, d):
+    name = F.col("entity_id").cast("string").alias("entity_id")
+    fusion = detectors.fusion_events(ad.signals(spark, d), 30, lists=False).select(name, F.col("risk_score").alias("points"))
+    mules = detectors.mule_accounts(detectors.ledger_edges(ad.ledger(spark, d)), top_n=None, neighbours=False).select(F.col("account").alias("entity_id"), F.col("risk_score").alias("points"))
+    farms = detectors.device_farms(ad.device_pairs(spark, d), top_n=None).where("risk_score > 0").select(F.explode("msisdns").alias("entity_id"), F.col("risk_score").alias("points"))
+    travel = detectors.impossible_travel(ad.geo(spark, d)).select(name, F.lit(100.0).alias("points"))
+    places = detectors.co_location(ad.geo(spark, d).withColumn("ord", F.col("event_id")))
+    return entities.entity_risk(fusion, mules, farms, travel, places.select(F.explode("entity_ids").alias("entity_id")).select(name, F.lit(75.0).alias("points")))
+
+
 @query()
 def entity_dossier(spark, d):
-    risk = entity_risk(spark, d)
+    risk = entity_risk_whole(spark, d)
     events = ad.table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("entity_id")).agg(F.sort_array(F.collect_set("event_type")).alias("names"))
     none = F.array().cast("array<string>")
     return entities.dossier(events.select("entity_id", F.array("entity_id").alias("phones"), "names", *(none.alias(c) for c in ("accounts", "upis", "imeis", "cities"))), risk)

@@ -2,12 +2,18 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
+from itertools import accumulate
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import rows_of
-from tracewright.llm import decontaminate, pii, rules
+from tracewright.llm import decontaminate, pii, rules, scans
 
 
 def luhn(digits):
@@ -50,10 +56,57 @@ def test_pii_learns_and_redacts(spark, documents, empty):
     assert "[secret]" in red[3][0] and "[email] end" in red[3][0] and red[20] == ("clean text of no one",) and red[21] == (None,)
 
 
+def test_pii_has_no_length_limit(spark, tmp_path):
+    dump = ", ".join(str(i * 7919 % 100_000) for i in range(1_000_000))
+    phones = "; ".join(f"+1 {i % 900 + 100} 555 {i % 10_000:04d}" for i in range(30_000))
+    rows = [(1, f"my token = {'a1' * 150} end"), (2, "password: hunter2hunter2hunter2"), (3, "key AKIA" + "Q7" * 8 + " end"), (4, "mail " + "x" * 300 + " (at) " + "y" * 300 + " (dot) com"), (5, dump), (6, phones)]
+    pq.write_table(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}), f"{tmp_path}/t.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/t.parquet")
+    began = time.time()
+    red, got = rows_of(pii.redact(docs), "text"), rows_of(pii.personal_data(docs), "n_phone", "n_spans")
+    assert time.time() - began < 60
+    assert [red[i][0] for i in range(1, 5)] == ["my [secret] end", "[secret]", "key [secret] end", "mail [email_spelled]"]
+    assert red[5] == (dump,) and red[6][0] == "; ".join(["[phone]"] * 30_000) and got[6] == (30_000, 30_000)
+
+
+def test_redacted_overlaps(spark):
+    texts = ["😀 a.b@c.de, 4111 1111 1111 1111 ü +1 (743) 555-3824", "x" * 5000 + " 1.2.3.4 " + "é" * 700 + " a@b.org", "a@1.2.3.4 z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans, red = rows_of(pii.personal_data(df), "spans"), rows_of(pii.redact(df), "text")
+    for i, text in enumerate(texts):
+        out, at = "", 0
+        for kind, a, b in (x.split(":") for x in spans[i][0].split(",")):
+            if int(a) >= at:
+                out += text[at : int(a)] + f"[{kind}]"
+            at = max(at, int(b))
+        assert red[i][0] == out + text[at:]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=9000))
+def test_running(spark, numbers):
+    df = spark.createDataFrame([(numbers,)], "x array<int>").select(scans.running(F.col("x"), lambda a, b: a + b), scans.running(F.col("x"), F.greatest))
+    assert tuple(df.first()) == (list(accumulate(numbers)), list(accumulate(numbers, max)))
+
+
+def test_votes_of_added_kinds(spark):
+    rows = [(0, "call 415-234-9876"), (1, "order 115-034-9876"), (2, "ssn 123-45-6780"), (3, "part 000-00-0000"), (4, "such as password: changeme")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    votes = {r["doc_id"]: [(s["kind"], s["v_regex"], s["v_gazetteer"], s["v_context"]) for s in r["spans"]] for r in pii.spans_with_votes(docs).collect()}
+    assert votes == {0: [("phone_local", 1, 0, 1)], 1: [("phone_local", -1, 0, -1)], 2: [("id_number", 1, 0, 1)], 3: [("id_number", -1, 0, -1)], 4: [("secret", -1, -1, 0)]}
+
+
+def test_labelers_outvote(spark):
+    good = [(i, f"call {400 + i % 90}-{234 + i % 700}-{1000 + i}") for i in range(200)]
+    bad = [(1000 + i, f"order {100 + i % 90}-0{10 + i % 80}-{1000 + i}") for i in range(200)]
+    got = rows_of(pii.personal_data(spark.createDataFrame(good + bad, "doc_id long, text string")), "n_spans")
+    assert all(got[i] == (1,) for i, _ in good) and all(got[i] == (0,) for i, _ in bad)
+
+
 def test_expectation_maximisation_trusts_the_better_labeler():
-    counts = [("card", 1, 1, 1, 2, 400), ("card", -1, 1, 0, 2, 300), ("card", -1, -1, 0, 2, 300), ("card", 1, -1, 1, 2, 100)]
+    counts = [("secret", 1, 1, 1, 2, 400), ("secret", -1, 1, 0, 2, 300), ("secret", -1, -1, 0, 2, 300), ("secret", 1, -1, 1, 2, 100)]
     model = pii.expectation_maximisation(counts)
-    (tp, fp), (gtp, gfp) = model.accuracy["card", "v_regex"], model.accuracy["card", "v_gazetteer"]
+    (tp, fp), (gtp, gfp) = model.accuracy["secret", "v_regex"], model.accuracy["secret", "v_gazetteer"]
     assert tp - fp > gtp - gfp
     assert model.weights["v_regex"] > 0
 

@@ -67,7 +67,7 @@ def test_personal_data_are_replaced(stages):
     for d, (text, _) in before.items():
         if base_spans(text):
             assert not base_spans(after[d][0])
-        elif "token" not in text:
+        elif not re.search("token|password|AKIA", text):
             assert after[d][0] == text
 
 

@@ -149,6 +149,37 @@ def test_language_never_learns_from_held_out(spark):
     assert model.languages == ["l1", "l2"] and model.words == language.train(docs).words
 
 
+def test_cumulative_link_slopes():
+    rng = np.random.default_rng(3)
+    z, grades, weight, free = rng.normal(size=40), rng.integers(0, 4, 40), rng.random(40), np.array([-0.4, 0.2, -0.7])
+    value, by_z, by_free = quality_model.log_likelihood(z, free, grades, weight)
+    t = quality_model.thresholds(free)
+    assert (np.diff(t) > 0).all()
+    tails = np.hstack([np.ones((40, 1)), 1 / (1 + np.exp(t - z[:, None])), np.zeros((40, 1))])
+    assert value == pytest.approx((weight * np.log(-np.diff(tails)[np.arange(40), grades])).sum())
+    for at, slopes in ((z, by_z), (free, by_free)):
+        for i in range(len(at)):
+            step = np.zeros(len(at))
+            step[i] = 1e-6
+            ends = [quality_model.log_likelihood(*((at + d, free) if at is z else (z, at + d)), grades, weight)[0] for d in (step, -step)]
+            assert slopes[i] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-6)
+    assert quality_model.log_likelihood(np.array([0.3]), np.array([-0.5, 0.0]), np.array([0]), np.ones(1))[1][0] == pytest.approx(-0.690, abs=1e-3)
+
+
+def test_fit_on_a_small_table():
+    words, grades = [np.array([k]) for k in (1, 2, 3) for _ in range(60)], np.repeat([0, 1, 2], 60)
+    noise = [[2, 0, 1][g] if i % 10 == 0 else g for i, g in enumerate(grades)]
+    shapes = np.zeros((180, quality_model.SHAPES))
+    shapes[:, 0] = 1
+    model = quality_model.fit(words, shapes, np.array(noise), deviations=0, balance=0, shrink=0, rounds=2000)
+    z = np.array([model.weights[k] + model.shapes[0] for k in (1, 2, 3)], dtype=float)
+    best = quality_model.log_likelihood(np.repeat(z, 60), np.array([model.thresholds[0], np.log(np.diff(model.thresholds)[0])]), np.array(noise), np.ones(180))[0]
+    grid = np.arange(-6, 6.1, 0.5)
+    # brute force over weights of the three words and both thresholds, the middle word's weight as origin
+    others = max(quality_model.log_likelihood(np.repeat([a, 0.0, b], 60), np.array([t, np.log(d)]), np.array(noise), np.ones(180))[0] for a in grid for b in grid for t in np.arange(-4, 1, 0.5) for d in (1.0, 2, 3, 4, 5))
+    assert best >= others - 1e-3
+
+
 def test_quality_model(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held")), F.lit(4)) == 0

@@ -1,8 +1,9 @@
 """Expected grades by ordinal regression on hashed text.
 
 A cumulative-link model: P(grade >= k) = sigmoid(w.x - t_k), with one weight
-vector w for all grades and ordered thresholds t_1 <= t_2. x is the set of a
-text's words, hashed into buckets, and a few shape features.
+vector w for all grades and ordered thresholds t_1 < t_2; a grade's probability
+is the difference of its two tails, and its logarithm is what is fitted. x is
+the set of a text's words, hashed into buckets, and a few shape features.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class OrdinalModel:
     """Weights, shape weights and ordered thresholds."""
 
     def __init__(self, weights: dict[int, float], shapes: np.ndarray, thresholds: np.ndarray):
-        self.shapes, self.thresholds = shapes, np.sort(thresholds)
+        self.shapes, self.thresholds = shapes, thresholds
         self.weights = np.zeros(BUCKETS, dtype=np.float32)
         self.weights[list(weights)] = list(weights.values())
 
@@ -68,6 +69,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def thresholds(free: np.ndarray) -> np.ndarray:
+    """Ordered by construction: the first, then the logarithms of the steps to the next ones."""
+    return np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
+
+
+def log_likelihood(z: np.ndarray, free: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sum of weight * log P(grade | z), its slopes by z, and by ``free``.
+
+    With tails s_k = sigmoid(z - t_k), s_0 = 1 and s_levels = 0, P(k) = s_k - s_(k+1) and
+    dlog P(k)/dz = 1 - s_k - s_(k+1), as the tails' slopes are s(1 - s).
+    """
+    t = thresholds(free)
+    every = np.concatenate(([-np.inf], t, [np.inf]))
+    low, high = every[grades], every[grades + 1]
+    upper, lower = (np.where(np.isinf(x), np.where(x < 0, 1.0, 0.0), sigmoid(z - np.where(np.isinf(x), 0.0, x))) for x in (low, high))
+    p = np.maximum(upper - lower, 1e-12)
+    by_z = weight * (1 - upper - lower)
+    by_low, by_high = -weight * upper * (1 - upper) / p, weight * lower * (1 - lower) / p
+    by_t = np.bincount(grades, by_low, len(every)) + np.bincount(grades + 1, by_high, len(every))
+    steps = np.concatenate((np.ones(1), np.exp(free[1:])))
+    return float(weight @ np.log(p)), by_z, steps * np.cumsum(by_t[1:-1][::-1])[::-1]
+
+
 def fit(buckets: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, levels: int = 3, least: int = 10, deviations: float = 4.0, balance: float = 0.25, rounds: int = 300, rate: float = 0.6, shrink: float = 2e-4) -> OrdinalModel:
     """Batch gradient steps (Adagrad) on the likelihood, with an L1 shrinkage of the word weights.
 
@@ -75,7 +99,7 @@ def fit(buckets: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, level
     errors, get no weight. ``balance``: 0 weighs documents alike, 1 the grades alike.
     """
     if not len(grades):
-        return OrdinalModel({}, np.zeros(SHAPES), np.zeros(levels - 1))
+        return OrdinalModel({}, np.zeros(SHAPES), np.arange(levels - 1.0))
     sizes = np.array([len(b) for b in buckets])
     flat = np.concatenate(buckets) if sizes.sum() else np.zeros(0, np.int32)
     names, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
@@ -86,24 +110,21 @@ def fit(buckets: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, level
     new = np.cumsum(use) - 1
     row, column = np.repeat(np.arange(len(sizes)), sizes)[use[column]], new[column[use[column]]]
     names = names[use]
-    reached = (grades[:, None] >= np.arange(1, levels)).astype(float)
     share = np.bincount(grades, minlength=levels).astype(float)
     weight = (1 / np.maximum(share, 1) ** balance)[grades]
     weight /= weight.sum()
-    w, s, t = np.zeros(len(names)), np.zeros(SHAPES), np.linspace(-0.5, 0.5, levels - 1)
+    w, s, free = np.zeros(len(names)), np.zeros(SHAPES), np.concatenate(([-0.5], np.full(levels - 2, -np.log(max(1, levels - 2)))))
     gw, gs, gt = np.full(len(names), 1e-8), np.full(SHAPES, 1e-8), np.full(levels - 1, 1e-8)
     for _ in range(rounds):
         z = np.bincount(row, w[column], len(sizes)) + shapes @ s
-        # each threshold is a binary question with shared weights: the cumulative-link score
-        error = (sigmoid(z[:, None] - t) - reached) * weight[:, None]
-        by_row = error.sum(axis=1)
-        dw, ds, dt = np.bincount(column, by_row[row], len(names)), shapes.T @ by_row, -error.sum(axis=0)
+        _, by_z, by_free = log_likelihood(z, free, grades, weight)
+        dw, ds, dt = -np.bincount(column, by_z[row], len(names)), -(shapes.T @ by_z), -by_free
         gw, gs, gt = gw + dw**2, gs + ds**2, gt + dt**2
         w -= rate * dw / np.sqrt(gw)
         w = np.sign(w) * np.maximum(np.abs(w) - shrink * rate / np.sqrt(gw), 0)
         s -= rate * ds / np.sqrt(gs)
-        t = np.sort(t - rate * dt / np.sqrt(gt))
-    return OrdinalModel({int(k): float(v) for k, v in zip(names, w, strict=True) if v}, s, t)
+        free = free - rate * dt / np.sqrt(gt)
+    return OrdinalModel({int(k): float(v) for k, v in zip(names, w, strict=True) if v}, s, thresholds(free))
 
 
 def grade(quality: str = "quality", toxic: str = "toxic") -> F.Column:

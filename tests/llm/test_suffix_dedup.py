@@ -1,6 +1,7 @@
 """Removal of repeated strings against counting all of them."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -22,6 +23,15 @@ def test_suffix_array(text, depth):
     assert keys == sorted(keys)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", min_size=1, max_size=90).map(str.encode), st.integers(1, 40), st.data())
+def test_common_prefixes(text, limit, data):
+    pairs = data.draw(st.lists(st.tuples(st.integers(0, len(text) - 1), st.integers(0, len(text) - 1)), min_size=1))
+    one, other = np.array(pairs).T
+    want = [min(limit, len(os.path.commonprefix([text[a:], text[b:]]))) for a, b in pairs]
+    assert suffixes.common_prefixes(text, one, other, limit).tolist() == want
+
+
 def brute(rows, length):
     count = Counter(data[i : i + length] for _, t in rows for data in [(t or "").encode()] for i in range(len(data) - length + 1))
     out = {}

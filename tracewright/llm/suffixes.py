@@ -72,22 +72,42 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
     return np.concatenate(order)
 
 
+def common_prefixes(text: bytes, one: np.ndarray, other: np.ndarray, limit: int) -> np.ndarray:
+    """Bytes that the suffixes at ``one`` and ``other`` share from their start, pair by pair, at most ``limit``.
+
+    All pairs are compared eight bytes at a time; pairs that differ drop out.
+    """
+    padded = np.frombuffer(text + bytes(limit + 8), dtype=np.uint8)
+    eights = np.ndarray((len(text) + limit,), dtype="<u8", buffer=padded.data, strides=(1,))
+    shared = np.full(len(one), limit, dtype=np.int64)
+    alike = np.arange(len(one))
+    for k in range(0, limit, 8):
+        differ = eights[one[alike] + k] ^ eights[other[alike] + k]
+        apart = np.flatnonzero(differ)
+        if len(apart):
+            lowest = differ[apart] & (~differ[apart] + U(1))
+            shared[alike[apart]] = np.minimum(limit, k + (np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3))
+            alike = alike[differ == 0]
+        if not len(alike):
+            break
+    return np.minimum(shared, len(text) - np.maximum(one, other))
+
+
 def repeated_starts(segments: list[bytes], starts: list[int], weights: list[int], length: int) -> list[np.ndarray]:
     """Per segment, which of its first ``starts`` places begin a string of ``length`` that begins at another place too.
 
     ``weights``: how many copies of the segment the corpus holds; two or more repeat all its strings.
+    A string repeats if its suffix shares ``length`` bytes with the suffix before or after it in order.
     """
     text = b"".join(segments)
     offsets = np.cumsum([0] + [len(s) for s in segments])
     valid = np.zeros(len(text) + 1, dtype=bool)
     for a, k in zip(offsets.tolist(), starts, strict=False):
         valid[a : a + k] = True
-    order = suffix_array(text, length)
-    order = order[valid[order]].tolist()
+    places = suffix_array(text, length)
+    places = places[valid[places]]
+    same = common_prefixes(text, places[:-1], places[1:], length) >= length
     repeated = np.zeros(len(text), dtype=bool)
-    keys = [text[i : i + length] for i in order]
-    same = np.fromiter((a == b for a, b in zip(keys, keys[1:])), dtype=bool, count=max(0, len(keys) - 1))
-    places = np.array(order, dtype=np.int64)
     repeated[places[:-1][same]] = True
     repeated[places[1:][same]] = True
     return [repeated[a : a + k] | (w > 1) for a, k, w in zip(offsets.tolist(), starts, weights, strict=False)]

@@ -89,6 +89,32 @@ def test_token_files(spark, documents, empty, word_bpe, tmp_path):
         token_files.Shard(token_files.get(shards[0][0]), dictionary + b"x")
 
 
+def test_token_files_of_odd_ids(spark, word_bpe, tmp_path):
+    library, data, start = word_bpe[0], vocabulary("word_bpe_49k.json"), 0
+    rows = [(-5, "minus five"), (None, "none"), (-1, "minus one words"), (3, None), (0, "zero"), (None, "none at all"), (3, "repeated"), (-(2**63), "least"), (2**63 - 1, "most")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shards = token_files.write_token_files(docs, data, str(tmp_path), shard_bytes=60)
+    assert len(shards) > 4 and sum(n for _, n, _ in shards) == len(rows)
+    got = sorted(map(tuple, token_files.read_token_files(spark, str(tmp_path), shards).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, -(2**63), -5, -1, 0, 3, 3, 2**63 - 1]
+    of = {}
+    for i, t in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        of.setdefault(i, set()).add((len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+    for i, at, n, crc in got:
+        assert at == start and (n, crc) in of[i]
+        of[i].remove((n, crc))
+        start += n
+
+
+def test_dictionary_sample_is_bounded(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), "id").alias("text")).withColumn("salt", F.xxhash64("text"))
+    long = docs.limit(1).select("doc_id", F.repeat("text", 9000).alias("text"), "salt")
+    total = docs.agg(F.sum(F.length("text"))).first()[0]
+    chosen = token_files.sample_for_dictionary(docs.union(long), total, total // 10, 65_536)
+    assert 250 < len(chosen) < 600 and max(map(len, chosen)) < 100
+
+
 def test_pieces(documents, empty, piece_bpe):
     library, _ = piece_bpe
     data = vocabulary("piece_bpe_32k.model")

@@ -1,12 +1,13 @@
 """Token ids in compressed binary files.
 
-A shard holds the documents of one range of ids. Each document's id array
-(little-endian unsigned 32-bit) is a Zstandard frame of its own, made with a
-dictionary that all shards share and that was trained on serialized id
-arrays. A shard is
+A shard holds documents of one range of ids, and ends when its frames reach a
+size. Each document's id array (little-endian unsigned 32-bit) is a Zstandard
+frame of its own, made with a dictionary that all shards share and that was
+trained on serialized id arrays. A shard is
 
     magic, SHA-256 of the dictionary, frames one after another,
-    index (doc_id, offset, size, number of ids), number of documents, magic
+    index (doc_id, whether it is null, offset, size, number of ids),
+    number of documents, magic
 
 so one document is read by one seek. The dictionary lies beside the shards.
 """
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,8 +34,8 @@ from tokenizers import Tokenizer
 from tracewright.llm.batches import held, map_batches
 from tracewright.session import scratch_dir
 
-MAGIC = b"TWIDS001"
-INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_ids", "<u4")])
+MAGIC = b"TWIDS002"
+INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "<u1"), ("offset", "<u8"), ("size", "<u8"), ("n_ids", "<u8")])
 _CHUNK = re.compile(r"[^ \t-\r]+")
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 #: Runs of Latin letters, and of what else isn't white space: a token never spans both, but for apostrophes.
@@ -154,6 +156,28 @@ def put(path: str, parts: list[bytes]) -> None:
     store.move(beside, at)
 
 
+class ShardWriter:
+    """Writes frames as they come and keeps the index alone; the file gets its name when it is whole."""
+
+    def __init__(self, path: str, dictionary: bytes):
+        self.path, self.index, self.ids = path, [], 0
+        self.store, self.at = fs.FileSystem.from_uri(path)
+        self.out = self.store.open_output_stream(f"{self.at}.part")
+        self.out.write(MAGIC + hashlib.sha256(dictionary).digest())
+        self.end = 40
+
+    def add(self, doc_id: int | None, frame: bytes, n_ids: int) -> None:
+        self.out.write(frame)
+        self.index.append((doc_id or 0, doc_id is None, self.end, len(frame), n_ids))
+        self.end += len(frame)
+        self.ids += n_ids
+
+    def close(self) -> None:
+        self.out.write(np.array(self.index, INDEX).tobytes() + struct.pack("<Q", len(self.index)) + MAGIC)
+        self.out.close()
+        self.store.move(f"{self.at}.part", self.at)
+
+
 def get(path: str) -> bytes:
     store, at = fs.FileSystem.from_uri(path)
     with store.open_input_stream(at) as f:
@@ -164,46 +188,61 @@ def as_uri(path: str) -> str:
     return path if re.match(r"\w+:/", path) else f"file://{path}"
 
 
-def write_token_files(docs: DataFrame, tokenizer_json: bytes, folder: str, end_id: int = 2, sample: int = 1500, level: int = 3) -> list[tuple[str, int, int]]:
+def sample_for_dictionary(rows: DataFrame, total: int, sample_bytes: int, longest: int) -> list[str]:
+    """Whole texts of up to ``longest`` bytes, chosen by a hash at a rate that gives about ``sample_bytes`` of them."""
+    rate = min(1.0, sample_bytes / max(1, total))
+    chosen = rows.where((F.pmod(F.xxhash64("doc_id", "salt"), F.lit(1 << 30)) < int(rate * (1 << 30))) & (F.octet_length("text") <= longest))
+    return [r.text for r in chosen.select("text").collect()]  # about sample_bytes
+
+
+def write_token_files(
+    docs: DataFrame, tokenizer_json: bytes, folder: str, end_id: int = 2, level: int = 3, sample_bytes: int = 5 << 20, longest: int = 1 << 16, range_bytes: int = 512 << 20, shard_bytes: int = 32 << 20
+) -> list[tuple[str, int, int]]:
     """Write the shards; return (path, documents, ids) of each, in the order of doc_id.
 
-    Rows are dealt into ranges of doc_id, so a shard is bounded and no task
-    depends on how rows are spread over sources. The dictionary is trained on
-    ``sample`` documents at most (chosen by a hash of doc_id); it affects sizes
+    Rows are dealt into ranges of doc_id and a hash of text, of about
+    ``range_bytes`` of text or less, so a doc_id of very many rows (or null)
+    is split too and no task depends on how rows are spread over sources. A
+    shard ends at ``shard_bytes`` of frames; frames go to the file as they
+    come. The dictionary is trained on about ``sample_bytes`` of whole texts,
+    none over ``longest`` (long ones gain nothing by it); it affects sizes
     only. Null and empty texts are documents of the end id alone; rows without
-    doc_id come first as id -1; repeated rows are kept.
+    doc_id come first, then the smallest, also negative ones; repeated rows
+    are kept, in the order of their texts' hashes.
     """
     spark, folder = docs.sparkSession, as_uri(folder)
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("salt", F.xxhash64("text"))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not n:
         return []
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample).select(F.substring("text", 1, 20_000).alias("text")).limit(2 * sample).collect()
-    dictionary = train_dictionary([x for x in encoder(tokenizer_json).ids([r.text for r in chosen]) if x]).as_bytes()
+    dictionary = train_dictionary([x for x in encoder(tokenizer_json).ids(sample_for_dictionary(rows, total, sample_bytes, longest)) if x]).as_bytes()
     put(f"{folder}/dictionary.zstd", [dictionary])
     told, end = spark.sparkContext.broadcast((tokenizer_json, dictionary)), struct.pack("<I", end_id)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shared = told.value
-        writer = zstandard.ZstdCompressor(level=level, dict_data=load(shared), write_content_size=True)
-        frames, index, at, first = [], [], 40, None
+        compressor = zstandard.ZstdCompressor(level=level, dict_data=load(shared), write_content_size=True)
+        part, made, shard = TaskContext.get().partitionId(), 0, None
+
+        def closed() -> pa.RecordBatch:
+            shard.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([made], pa.int32()), "path": [shard.path], "n_docs": [len(shard.index)], "n_ids": [shard.ids]})
+
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            first = ids[0] if first is None and ids else first
-            for i, own in zip(ids, encoder(words).ids(batch.column("text").to_pylist()), strict=True):
-                frames.append(writer.compress(own + end))
-                index.append((i, at, len(frames[-1]), len(own) // 4 + 1))
-                at += len(frames[-1])
-        if index:
-            path = f"{folder}/from-{first + 2**63:020d}-{uuid.uuid4().hex[:8]}.ids"
-            put(path, [MAGIC, hashlib.sha256(shared).digest(), *frames, np.array(index, INDEX).tobytes(), struct.pack("<Q", len(index)), MAGIC])
-            yield pa.RecordBatch.from_pydict({"first": [first], "path": [path], "n_docs": [len(index)], "n_ids": [sum(x[3] for x in index)]})
-
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    made = dealt.mapInArrow(write, "first long, path string, n_docs long, n_ids long").collect()  # a row for each shard
-    return [(r.path, r.n_docs, r.n_ids) for r in sorted(made, key=lambda r: r["first"])]
+            for i, own in zip(batch.column("doc_id").to_pylist(), encoder(words).ids(batch.column("text").to_pylist()), strict=True):
+                shard = shard or ShardWriter(f"{folder}/part-{part:07d}-{made:05d}-{uuid.uuid4().hex[:8]}.ids", shared)
+                shard.add(i, compressor.compress(own + end), len(own) // 4 + 1)
+                if shard.end >= shard_bytes:
+                    yield closed()
+                    shard, made = None, made + 1
+        if shard:
+            yield closed()
+
+    dealt = rows.repartitionByRange(parts, "doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "text")
+    shards = dealt.mapInArrow(write, "part int, number int, path string, n_docs long, n_ids long").collect()  # a row for each shard
+    return [(r.path, r.n_docs, r.n_ids) for r in sorted(shards, key=lambda r: (r.part, r.number))]
 
 
 def read_token_files(spark, folder: str, shards: list[tuple[str, int, int]]) -> DataFrame:
@@ -222,7 +261,7 @@ def read_token_files(spark, folder: str, shards: list[tuple[str, int, int]]) ->
         for path, start in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
             shard = Shard(get(path), dictionary)
             sizes = shard.index["n_ids"].astype(np.int64)
-            out["doc_id"] += shard.index["doc_id"].tolist()
+            out["doc_id"] += [None if none else i for i, none in zip(shard.index["doc_id"].tolist(), shard.index["no_id"].tolist(), strict=True)]
             out["start"] += (start + np.cumsum(sizes) - sizes).tolist()
             out["n_tokens"] += sizes.tolist()
             out["ids_crc32"] += [zlib.crc32(shard.document(k)) for k in range(len(sizes))]
@@ -235,5 +274,4 @@ def read_token_files(spark, folder: str, shards: list[tuple[str, int, int]]) ->
 def token_files(docs: DataFrame, tokenizer_json: bytes, folder: str | None = None, end_id: int = 2) -> DataFrame:
     """Write ``docs`` as token files (by default into the shared scratch folder) and read them back."""
     folder = folder or f"{scratch_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    shards = write_token_files(docs, tokenizer_json, folder, end_id)
-    return read_token_files(docs.sparkSession, folder, shards).withColumn("doc_id", F.when(F.col("doc_id") >= 0, F.col("doc_id")))
+    return read_token_files(docs.sparkSession, folder, write_token_files(docs, tokenizer_json, folder, end_id))

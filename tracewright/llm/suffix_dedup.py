@@ -53,10 +53,15 @@ def string_hashes(data: bytes, length: int) -> np.ndarray:
     return mixed((total[length:] - total[:-length]) * down[: len(data) - length + 1]).view(np.int64)
 
 
-def bytes_of(wanted: DataFrame, docs: DataFrame, length: int, most_broadcast: int) -> DataFrame:
+def small(df: DataFrame, rows: int, row_bytes: int, most_bytes: int) -> DataFrame:
+    """``df``, to be broadcast if ``rows`` of ``row_bytes`` (as Spark holds them in memory) stay within ``most_bytes``."""
+    return F.broadcast(df) if rows * row_bytes <= most_bytes else df
+
+
+def bytes_of(wanted: DataFrame, docs: DataFrame, length: int, most_bytes: int) -> DataFrame:
     """``wanted`` stretches (doc_id, start, ...) with their bytes; those marked ``large`` with their strings' hashes instead."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*STRETCH, "start", "n", "large")).alias("wanted"))
-    lists = F.broadcast(lists) if wanted.count() <= most_broadcast else lists  # 40 bytes a row
+    lists = small(lists, wanted.count(), 96, most_bytes)  # a struct of 7 fields and its place in the list; a document has one at least
     both = docs.select("doc_id", "text")
 
     def run(batch: pa.RecordBatch) -> dict | None:
@@ -108,17 +113,18 @@ def by_counts(stretches: DataFrame) -> DataFrame:
     return hit.groupBy(*STRETCH).agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))).alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, rows: DataFrame, length: int, most: int, most_broadcast: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, rows: DataFrame, length: int, most: int, most_bytes: int) -> DataFrame:
     """doc_id and its runs of bytes covered by repeated strings (lo, hi: starts of strings, first and last)."""
     each = rows.where("doc_id is not null").select("doc_id", F.explode("stretches").alias("x")).select("doc_id", "x.*")
     twice = staged(each.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("_anchor")), "anchors")
-    small = F.broadcast(twice) if twice.count() <= most_broadcast else twice  # 8 bytes each
-    met = staged(each.join(small, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "met")
+    met = staged(each.join(small(twice, twice.count(), 32, most_bytes), F.col("anchor") == F.col("_anchor")).drop("_anchor"), "met")
     stretches = staged(met.groupBy(*STRETCH).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("at")), "stretches")
-    kinds = stretches.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = staged(stretches.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    # small: no anchor's stretches meet in a task; large: an anchor is one row here, so that AQE splits those of a hot one
+    kinds = small(kinds, kinds.count(), 40, most_bytes)
     several = stretches.join(kinds, F.col("anchor") == F.col("_anchor"))
     wanted = staged(several.select(*STRETCH, "n", "at.doc_id", "at.start", (F.col("kinds") > most).alias("large")), "wanted")
-    fetched = staged(bytes_of(wanted, docs, length, most_broadcast), "bytes")
+    fetched = staged(bytes_of(wanted, docs, length, most_bytes), "bytes")
     compared = by_suffix_arrays(fetched.where("data is not null"), length).unionByName(by_counts(fetched.where("hashes is not null")))
     # a stretch with copies and nothing else under its anchor is repeated as a whole
     alone = stretches.join(kinds, F.col("anchor") == F.col("_anchor"), "left_anti").select(*STRETCH, F.array(F.struct(F.lit(0).alias("lo"), F.col("width").cast("int").alias("hi"))).alias("spans"))
@@ -151,12 +157,12 @@ def covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = 400, most: int = 4000, most_broadcast: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def without_repeats(docs: DataFrame, length: int = 400, most: int = 4000, most_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """(all rows with n_bytes and digest, doc_id and what is left of those that lose bytes)."""
     rows = staged(marked(docs, length), "marked")
-    spans = staged(repeated_spans(docs, rows, length, most, most_broadcast), "doc_spans")
-    few = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= most_broadcast
-    both = docs.select("doc_id", "text").join(F.broadcast(spans) if few else spans, "doc_id")
+    spans = staged(repeated_spans(docs, rows, length, most, most_bytes), "doc_spans")
+    n = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    both = docs.select("doc_id", "text").join(small(spans, n, 80, most_bytes), "doc_id")
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept": []}

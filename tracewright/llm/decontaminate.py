@@ -52,10 +52,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_byte
     """Rows of ``docs`` (row, doc_id, n_words) with the windows found in each: at, size, item_id; at 0 is the row itself."""
     found = benchmark_windows(benchmark, window)
     size = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(F.array_join("item_words", " ")) + 16 * F.size("item_words") + 64), F.lit(0)).alias("bytes"), F.collect_set("size").alias("sizes")).first()
-    # a row of its own that each document finds, so that one pass also returns those without a hit
+    # where the table is broadcast, a row of its own that each document finds, so that one pass also returns those without a hit
     mark = found.sparkSession.range(1).select(F.lit(None).cast(found.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("item_words"), F.lit(0).cast("long").alias("hash"))
-    table = found.select("item_id", "size", "item_words", "hash").union(mark).withColumnsRenamed({"hash": "b_hash", "size": "b_size"})
+    table = found.select("item_id", "size", "item_words", "hash")
     small = size["bytes"] <= broadcast_bytes
+    table = (table.union(mark) if small else table).withColumnsRenamed({"hash": "b_hash", "size": "b_size"})
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     rows = rows if small else staged(rows, "words")
     sizes = sorted(size["sizes"])  # at most ``window`` numbers
@@ -65,17 +66,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_byte
         first = F.array(F.lit(0).cast("long"))
         each = rows.select(*columns, F.posexplode(F.concat(first, F.col(f"_w{sizes[0]}"))).alias("at", "hash"))
         each = each.withColumn("size", F.when(F.col("at") == 0, 0).otherwise(F.lit(sizes[0])))
+        each = each if small else each.where("at > 0")
     else:
         listed = [placed(k) for k in sizes]
         first = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash")))
-        each = rows.select(*columns, F.explode(F.concat(first, *listed)).alias("x")).select(*columns, "x.at", "x.size", "x.hash")
+        each = rows.select(*columns, F.explode(F.concat(first, *listed) if small or not listed else F.concat(*listed)).alias("x")).select(*columns, "x.at", "x.size", "x.hash")
     match = (F.col("hash") == F.col("b_hash")) & (F.col("size") == F.col("b_size"))
     if small:
         joined = each.join(F.broadcast(table), match)
     else:  # hashes alone are shuffled; the words come back for what was found
         joined = each.hint("merge").join(table.hint("merge"), match).join(rows.select("row", "doc_id", *keep, "n_words", "words"), "row")
     same = (F.col("at") == 0) | (F.slice("words", F.greatest("at", F.lit(1)), F.col("size")) == F.col("item_words"))
-    return joined.where(same).select("row", "doc_id", *keep, "n_words", "at", "size", "item_id")
+    columns = ("row", "doc_id", *keep, "n_words", "at", "size", "item_id")
+    if small:
+        return joined.where(same).select(*columns)
+    # and the rows themselves beside the join, so that they don't all meet at one hash
+    own = rows.withColumns({"at": F.lit(0), "size": F.lit(0), "item_id": F.lit(None).cast(found.schema["item_id"].dataType)})
+    return joined.where(same & (F.col("at") > 0)).select(*columns).union(own.select(*columns))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:

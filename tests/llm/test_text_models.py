@@ -1,8 +1,10 @@
 """Tokenizers against their libraries, classifiers on held-out documents."""
 
+import math
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -167,6 +169,47 @@ def test_backoff_takes_the_longest_known_order():
     assert language.Identifier(model).predict(["quux", "zz", "z", "foo bar bar"])[0] == ["x", "y", "x", "y"]
 
 
+@pytest.mark.parametrize(("words", "grams", "least"), [(30_000, 10_000, 2), (40, 25, 1)])
+def test_trained_counts_and_predictions_against_plain_python(spark, words, grams, least):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.withColumn("held", language.held_out()).select("doc_id", "text", "lang", "held").collect()
+    counts = {}
+    for r in rows:
+        if r["lang"] and not r["held"]:
+            for w in language.words_of(r["text"] or ""):
+                for k in range(language.LONGEST + 1):
+                    for g in [w] if k == 0 else language.grams_of(w, k):
+                        own = counts.setdefault(r["lang"], {}).setdefault(k, Counter())
+                        own[g] += 1
+    kept = {lang: {k: dict(sorted(((g, n) for g, n in c.items() if n >= least), key=lambda x: (-x[1], x[0]))[: grams if k else words]) for k, c in of.items()} for lang, of in counts.items()}
+
+    def log_frequencies(k):
+        every = {g for of in kept.values() for g in of.get(k, {})}
+        total = {lang: sum(of.get(k, {}).values()) + 0.5 * (len(every) + 1) for lang, of in kept.items()}
+        return {g: {lang: math.log((of.get(k, {}).get(g, 0) + 0.5) / total[lang]) for lang, of in kept.items()} for g in every}
+
+    tables = [log_frequencies(k) for k in range(language.LONGEST + 1)]
+
+    def of_word(w, lang):
+        if w in tables[0]:
+            return tables[0][w][lang]
+        for k in range(language.LONGEST, 0, -1):
+            if known := [tables[k][g][lang] for g in language.grams_of(w, k) if g in tables[k]]:
+                return sum(known) / len(known)
+        return 0.0
+
+    model = language.train(docs, sample=1 << 30, words=words, grams=grams, least=least)
+    got = rows_of(language.identify(docs, model), "lang_pred", "score")
+    for r in rows:
+        own = language.words_of(r["text"] or "")
+        if own and len(own) < 2000:
+            z = {lang: sum(of_word(w, lang) for w in own) for lang in sorted(kept)}
+            best = max(z.values())
+            score = 1 / sum(math.exp(v - best) for v in z.values())
+            assert got[r["doc_id"]][1] == pytest.approx(score, abs=1e-3)
+            assert z[got[r["doc_id"]][0]] == pytest.approx(best, abs=1e-3)
+
+
 def test_language_never_learns_from_held_out(spark):
     rows = [(i, "aaa bbb" if i % 2 else "ccc ddd", "l1" if i % 2 else "l2") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -105,13 +105,15 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = 16_000, words: int = 30_000, grams: int = 10_000) -> LanguageModel:
+def train(docs: DataFrame, sample: int = 16_000, words: int = 30_000, grams: int = 10_000, least: int = 2) -> LanguageModel:
     """Learn from rows that have lang and aren't held out.
 
     The model is fitted on ``sample`` labelled documents or so, chosen by a
     hash of doc_id, whole texts; it keeps the ``words`` most frequent words and
     the ``grams`` most frequent n-grams of each order for each language, so
-    that its size is bounded. Ties in frequency go to the first in the alphabet.
+    that its size is bounded, of those met ``least`` times or more in the
+    sample: what is met once says more about its document than its language.
+    Ties in frequency go to the first in the alphabet.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     n = labelled.select("doc_id").count()
@@ -133,7 +135,7 @@ def train(docs: DataFrame, sample: int = 16_000, words: int = 30_000, grams: int
             rows += [(lang, k, g, c) for k, every in enumerate([found, *of[1:]]) for g, c in every.items()]
         return dict(zip(("lang", "n", "gram", "c"), map(list, zip(*rows, strict=True)), strict=True)) if rows else None
 
-    counted = map_batches(chosen, count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).where("c > 1")
+    counted = map_batches(chosen, count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     most = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     kept = counted.withColumn("rank", most).where(F.col("rank") <= F.when(F.col("n") == 0, words).otherwise(grams))
     of: dict[int, dict[str, dict[str, int]]] = defaultdict(lambda: defaultdict(dict))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.session import staged
+from tracewright.session import release, staged
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         lowest = large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
         joined = _joined_minimum(large, lowest)
         small = joined.select(F.explode(F.array(F.struct("u", F.col("_m").alias("v")), F.struct(F.col("v").alias("u"), F.col("_m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = staged(small, "edges")
+        before_now, now = now, staged(small, "edges")
+        release(before_now)
         mark = _mark(now)
         if mark == before:
             break

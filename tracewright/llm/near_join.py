@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.batches import map_batches, map_iterators, texts_of
 from tracewright.llm.shingles import shingle_sets
 from tracewright.operators.components import connected_components
-from tracewright.session import staged
+from tracewright.session import release, staged
 
 CELL_BITS = 18
 
@@ -81,7 +81,9 @@ def shingles_of(docs: DataFrame, ids: DataFrame, size: int, most_broadcast: int
     def run(batch: pa.RecordBatch) -> dict:
         return {"rep": batch.column("doc_id"), "set": [h.view(np.int64) for h in shingle_sets(texts_of(batch), size)]}
 
-    return staged(map_batches(chosen, run, "rep long, set array<long>").dropDuplicates(["rep"]), "sets")
+    sets = staged(map_batches(chosen, run, "rep long, set array<long>").dropDuplicates(["rep"]), "sets")
+    release(ids)
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -92,6 +94,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def checked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, held against whole sets of the documents; only links are kept on disk."""
+    pairs = staged(pairs, "pairs")
+    sets = shingles_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")), size)
+    found = staged(verified(pairs, sets, percent), "links")
+    release(pairs, sets)
+    return found
+
+
 def closest(pairs: DataFrame, a: str, b: str, most: int = 2) -> DataFrame:
     """Of each a, the ``most`` b that it meets most often. Only for what goes first: the last step takes all pairs."""
     met = pairs.groupBy(a, b).agg(F.count("*").alias("_met"))
@@ -151,8 +162,7 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     near_pairs = closest(neighbours.union(to_hub), "a", "b").select(F.least("a", "b").alias("xg"), F.greatest("a", "b").alias("yg")).distinct()
     near_pairs = may_link(near_pairs, groups, percent).withColumnsRenamed({"xg": "a", "yg": "b"})
     first = near_pairs.distinct().union(of_group.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
-    first = staged(first, "pairs")
-    one = staged(verified(first, shingles_of(docs, first.select(F.explode(F.array("a", "b")).alias("rep")), size), percent), "links")
+    one = checked(docs, first, size, percent)
 
     units, crossed = provisional(lists, of_group, one)
     hubs = crossed.where("comp = main").groupBy("token").agg(F.min(F.struct("pos", "gid", "n", "comp")).alias("h"))
@@ -160,9 +170,9 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     again = closest(again, "a", "b").select(F.col("a.gid").alias("xg"), F.col("a.comp").alias("comp"), F.col("b.hub").alias("yg"), F.col("b.hub_comp").alias("hub_comp"))
     again = may_link(again, groups, percent).withColumnsRenamed({"xg": "gid", "yg": "hub"})
     right = units.groupBy(F.col("gid").alias("hub"), F.col("comp").alias("hub_comp")).agg(F.min("rep").alias("b"))
-    again = staged(again.join(units, ["gid", "comp"]).join(right, ["hub", "hub_comp"]).select(F.col("rep").alias("a"), "b").distinct(), "pairs")
-    more = verified(again, shingles_of(docs, again.select(F.explode(F.array("a", "b")).alias("rep")), size), percent)
-    one = staged(one.union(more), "links")
+    again = again.join(units, ["gid", "comp"]).join(right, ["hub", "hub_comp"]).select(F.col("rep").alias("a"), "b").distinct()
+    one = one.union(checked(docs, again, size, percent))
+    release(units, crossed)
 
     units, mixed_lists = provisional(lists, of_group, one)
     per_unit = units.select("gid", "comp").distinct()
@@ -188,8 +198,8 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     left = units.select(F.col("gid").alias("xg"), F.col("comp").alias("xc"), F.col("rep").alias("a"))
     right = units.select(F.col("gid").alias("yg"), F.col("comp").alias("yc"), F.col("rep").alias("b"))
     second = enough.join(left, ["xg", "xc"]).join(right, ["yg", "yc"]).select("a", "b").union(within)
-    second = staged(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    two = verified(second, shingles_of(docs, second.select(F.explode(F.array("a", "b")).alias("rep")), size), percent)
+    two = checked(docs, second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size, percent)
+    release(lists, units, mixed_lists, groups, of_group)
     return members, one.union(two)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,23 +80,57 @@ def entities(mapped: DataFrame, weak: DataFrame) -> DataFrame:
     return every.groupBy("entity_id").agg(*(F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(n) for k, n in names.items()))
 
 
+def _least_common(n: Column, m: Column, threshold: float) -> Column:
+    """Characters that names of these lengths have in common, in order, at least, if their ratio reaches the threshold."""
+    return F.ceil(F.lit(threshold) * (n + m) / 200 - 1e-9)
+
+
+def _gram_keys(rows: DataFrame, threshold: float) -> DataFrame:
+    """(sorted, short, long, gram): keys of which any two names whose ratio reaches the threshold share one.
+
+    Grams are pairs of neighbouring characters, numbered among equals. Of names
+    of n and m characters that share L in order, the first has n - 1 grams; each
+    of its n - L other characters spoils two, and each of the m - L others of
+    the second parts one. So s = 3 L - n - m - 1 are shared at least, and for
+    each length m that fits the rarest n - s grams hold a shared one. Where
+    nothing need be shared, lengths alone are the key.
+    """
+    texts = rows.select("sorted").distinct().withColumn("n", F.length("sorted")).where("n > 0")
+    each = texts.select("sorted", "n", F.explode(F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("sorted"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))).alias("pair"))
+    numbered = each.groupBy("sorted", "n", "pair").agg(F.count("*").alias("times")).select("sorted", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: F.concat(F.col("pair"), k.cast("string")))).alias("gram"))
+    often = numbered.groupBy("gram").agg(F.count("*").alias("often"))
+    grams = numbered.join(often, "gram").groupBy("sorted").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("grams"))
+    low, high = threshold / (200 - threshold), (200 - threshold) / threshold
+    lengths = F.sequence(F.ceil(F.col("n") * low - 1e-9).cast("int"), F.floor(F.col("n") * high + 1e-9).cast("int"))
+    probes = texts.join(grams, "sorted", "left").withColumn("m", F.explode(lengths))
+    shared = 3 * _least_common(F.col("n"), F.col("m"), threshold) - F.col("n") - F.col("m") - 1
+    first = F.slice(F.transform("grams", lambda g: g["gram"]), F.lit(1), F.greatest(F.col("n") - F.col("shared"), F.lit(0)).cast("int"))
+    keys = probes.withColumn("shared", shared).withColumn("key", F.explode(F.when(F.col("shared") > 0, first).otherwise(F.array(F.lit("")))))
+    return keys.select("sorted", F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"), F.col("key").alias("gram"))
+
+
 def fuzzy_pairs(names: DataFrame, threshold: float = 85.0, matches: int = 3) -> DataFrame:
     """(entity, name) rows -> pairs of different names of different entities that share a block and are alike.
 
     ``names``: entity_id, name, block (a city or network that both must share).
-    Within a block, candidates share a token or the first three letters of one,
-    so no block is compared in full; a Levenshtein bound goes before the exact
-    ratio. Per name its ``matches`` best stay.
+    No pair is lost: candidates share a key that all pairs of the threshold's
+    ratio share, then pass a Levenshtein bound, then the exact ratio. Null and
+    empty names give no pair. Per name its ``matches`` best other names stay.
     """
-    rows = names.select("entity_id", "name", "block", sorted_tokens(F.col("name")).alias("sorted")).distinct()
-    gram = F.explode(F.array_distinct(F.transform(F.split("sorted", " "), lambda t: F.substring(t, 1, 3))))
-    indexed = rows.withColumn("gram", gram)
-    x, y = indexed.alias("x"), indexed.alias("y")
-    on = (F.col("x.block") == F.col("y.block")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.entity_id") != F.col("y.entity_id")) & (F.col("x.name") != F.col("y.name"))
-    pairs = x.join(y, on).where(may_reach(F.col("x.sorted"), F.col("y.sorted"), threshold)).select(F.col("x.entity_id").alias("a"), F.col("x.name").alias("name_a"), F.col("y.entity_id").alias("b"), F.col("y.name").alias("name_b"), F.col("x.sorted").alias("sa"), F.col("y.sorted").alias("sb")).distinct()
-    scored = pairs.withColumn("score", subsequence_ratio("sa", "sb")).where(F.col("score") >= threshold)
+    rows = names.where("name is not null and block is not null").select("entity_id", "name", "block", sorted_tokens(F.col("name")).alias("sorted")).distinct()
+    keys = staged(_gram_keys(rows, threshold), "keys")
+    x, y = keys.alias("x"), keys.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("short", "long", "gram")]
+    fits = (F.length("x.sorted") == F.col("x.short")) & (F.length("y.sorted") == F.col("x.long"))
+    # names are compared once, however many entities and blocks hold them
+    alike = x.join(y, same[0] & same[1] & same[2] & fits & may_reach(F.col("x.sorted"), F.col("y.sorted"), threshold)).select(F.col("x.sorted").alias("sa"), F.col("y.sorted").alias("sb")).distinct()
+    scored = staged(alike.withColumn("score", subsequence_ratio("sa", "sb")).where(F.col("score") >= threshold), "alike")
+    scored = scored.union(scored.select(F.col("sb"), F.col("sa"), "score")).distinct()
+    left = rows.select(F.col("entity_id").alias("a"), F.col("name").alias("name_a"), F.col("block").alias("block_a"), F.col("sorted").alias("sa"))
+    right = rows.select(F.col("entity_id").alias("b"), F.col("name").alias("name_b"), F.col("block").alias("block_b"), F.col("sorted").alias("sb"))
+    met = left.join(scored, "sa").join(right, "sb").where("block_a = block_b and a <> b and name_a <> name_b").select("a", "name_a", "b", "name_b", "score").distinct()
     best = F.dense_rank().over(Window.partitionBy("name_a").orderBy(F.desc("score"), "name_b"))
-    return scored.withColumn("rank", best).where(F.col("rank") <= matches).select("a", "name_a", "b", "name_b", "score")
+    return met.withColumn("rank", best).where(F.col("rank") <= matches).select("a", "name_a", "b", "name_b", "score")
 
 
 def resolve(bank: DataFrame, calls: DataFrame, sessions: DataFrame, fuzzy_threshold: float | None = 85.0, link_public_ip: bool = True, merge_identical: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -152,13 +188,92 @@ def entity_risk(fusion: DataFrame, mules: DataFrame, farms: DataFrame, travel: D
     return summed.withColumn("tier", scores.report_tier(F.col("score")))
 
 
-def dossier(found: DataFrame, risk: DataFrame, day: str = "20250101") -> DataFrame:
-    """entity_id, report_id and the report of every entity, as Markdown, in one plan."""
+#: Report limits, of windows in the timeline and of numbers shown for a handset.
+TIMELINE, SHOWN = 10, 5
+NOT_FOUND = "*Not found in dataset*"
+
+
+def _line(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def money(c: str) -> Column:
+    return F.format_number(F.col(c), 2)
+
+
+def account_lines(mules: DataFrame) -> DataFrame:
+    """entity_id and a line for each of its accounts, the riskiest first. ``mules``: those columns and entity_id."""
+    text = _line("| ", F.col("account"), " | ", F.coalesce("bank_name", F.lit("")), " | ", money("money_in"), " | ", money("money_out"), " | ", F.col("in_degree").cast("string"), " | ", F.col("out_degree").cast("string"), " | ", money("risk_score"), " |")
+    return _lines(mules, text, "accounts_table", F.struct((-F.col("risk_score")).alias("by"), "account"))
+
+
+def handset_lines(farms: DataFrame) -> DataFrame:
+    """entity_id and a line for each of its handsets. ``farms``: imei, sim_count, msisdns, risk_tier, risk_score and entity_id."""
+    some = _line(F.array_join(F.slice("msisdns", 1, SHOWN), ", "), F.when(F.size("msisdns") > SHOWN, "...").otherwise(""))
+    text = _line("| ", F.col("imei"), " | ", F.col("sim_count").cast("string"), " | ", some, " | ", F.upper("risk_tier"), " | ", money("risk_score"), " |")
+    return _lines(farms, text, "handsets_table", F.struct((-F.col("risk_score")).alias("by"), "imei"))
+
+
+def timeline_lines(windows: DataFrame) -> DataFrame:
+    """entity_id and a line for each of its first TIMELINE windows, by risk, then time."""
+    order = F.struct((-F.col("risk_score")).alias("by"), "window_start")
+    text = _line(ids.iso_time("window_start"), " to ", ids.iso_time("window_end"), ": risk ", F.col("risk_score").cast("string"), ", ", *chain.from_iterable((F.col(f"{k}_count").cast("string"), f" {k}" + (", " if k != "session" else "")) for k in ("bank", "call", "session")), F.when(F.col("is_injected"), " (injected)").otherwise(""))
+    return _lines(windows, text, "timeline", order, TIMELINE)
+
+
+def _lines(df: DataFrame, text: Column, name: str, order: Column, most: int | None = None) -> DataFrame:
+    rows = df.select(F.col("entity_id").cast("string").alias("entity_id"), order.alias("o"), text.alias("text"))
+    if most:
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy("o"))).where(F.col("place") <= most)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("o", "text"))), lambda x: x["text"])
+    return rows.groupBy("entity_id").agg(F.array_join(listed, "\n").alias(name))
+
+
+#: What an investigator is told to do, by part of the risk that is there.
+ADVICE = {
+    "mule": "Freeze or watch the accounts above, and trace who receives from them.",
+    "fusion": "Ask for call and session records of the 30 days before the windows above.",
+    "hideout": "Watch the shared places.",
+    "farm": "Seize the shared handsets.",
+    "travel": "Check who holds the subscriptions that were in two places.",
+}
+
+
+def dossier(found: DataFrame, risk: DataFrame, mules: DataFrame | None = None, farms: DataFrame | None = None, windows: DataFrame | None = None, day: str = "20250101") -> DataFrame:
+    """entity_id, report_id and the report of every entity, as Markdown, in one plan.
+
+    A: who it is. B: score, tier and the parts of the score. C: its accounts,
+    handsets and addresses. D: its first windows. E: what to do. ``mules``,
+    ``farms`` and ``windows``: the detectors' rows with entity_id; parts
+    without rows are left out.
+    """
     rows = found.join(risk, "entity_id", "left")
-    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("*Not found in dataset*")
+    tables = {"accounts_table": mules is not None and account_lines(mules), "handsets_table": farms is not None and handset_lines(farms), "timeline": windows is not None and timeline_lines(windows)}
+    for name, df in tables.items():
+        rows = rows.join(df, "entity_id", "left") if df else rows.withColumn(name, F.lit(None).cast("string"))
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(NOT_FOUND)
+    known = [(t, c) for t, c in (("Phones", "phones"), ("Accounts", "accounts"), ("Handles", "upis"), ("Handsets", "imeis"), ("Names", "names"), ("Cities", "cities")) if c in found.columns]
     report = F.concat(F.lit(f"STR-{day}-"), F.substring("entity_id", 1, 16))
-    lines = [F.concat(F.lit("# Suspicious transaction report "), report), F.lit("## A. Subject"), *(F.concat(F.lit(f"| {t} | "), listed(c), F.lit(" |")) for t, c in (("Phones", "phones"), ("Accounts", "accounts"), ("Handles", "upis"), ("Handsets", "imeis"), ("Names", "names"), ("Cities", "cities")))]
-    lines += [F.lit("## B. Grounds"), F.concat(F.lit("Score "), F.format_number(F.coalesce("score", F.lit(0.0)), 2), F.lit(", tier "), F.coalesce("tier", F.lit("LOW")))]
-    lines += [F.concat(F.lit(f"- {t}: "), F.format_number(F.coalesce(c, F.lit(0.0)), 2)) for t, c in (("windows of several sources", "fusion"), ("pass-through accounts", "mule"), ("shared handsets", "farm"), ("impossible journeys", "travel"), ("shared places", "hideout"))]
-    body = F.concat_ws("\n", *lines)
+    parts = [("windows of several sources", "fusion"), ("pass-through accounts", "mule"), ("shared handsets", "farm"), ("impossible journeys", "travel"), ("shared places", "hideout")]
+    if_any = lambda title, c: F.when(c.isNotNull(), F.concat(F.lit(f"{title}\n"), c))
+    ips = F.when(F.size("ips") > 0, F.concat(F.lit("- "), F.array_join(F.sort_array("ips"), "\n- "))) if "ips" in found.columns else F.lit(None).cast("string")
+    advice = F.concat_ws("\n", *(F.when(F.col(p) > 0, f"- {text}") for p, text in ADVICE.items()))
+    lines = [
+        F.concat(F.lit("# Suspicious transaction report "), report), F.lit("## A. Subject"), *(F.concat(F.lit(f"| {t} | "), listed(c), F.lit(" |")) for t, c in known),
+        F.lit("## B. Grounds"), F.concat(F.lit("Score "), F.format_number(F.coalesce("score", F.lit(0.0)), 2), F.lit(", tier "), F.coalesce("tier", F.lit("LOW"))),
+        *(F.concat(F.lit(f"- {t}: "), F.format_number(F.coalesce(c, F.lit(0.0)), 2)) for t, c in parts),
+        F.lit("## C. Traces"), if_any("| Account | Bank | In | Out | Senders | Receivers | Risk |\n|---|---|---|---|---|---|---|", F.col("accounts_table")), if_any("| Handset | Numbers | Some of them | Tier | Risk |\n|---|---|---|---|---|", F.col("handsets_table")), if_any("Addresses", ips),
+        if_any("## D. Timeline", F.col("timeline")),
+        F.lit("## E. Next steps"), F.when(advice == "", "- Nothing was found by rule; look at the subject by hand.").otherwise(advice),
+    ]
+    body = F.concat_ws("\n", *lines)  # leaves out the parts that are null
     return rows.select("entity_id", report.alias("report_id"), F.concat(body, F.lit("\n\nIntegrity: "), F.substring(F.sha2(F.concat(report, body), 256), 1, 16)).alias("report"))
+
+
+def report_of(dossiers: DataFrame, entity_id: str | None = None) -> DataFrame:
+    """One row: the entity's report, that of the first entity if none is named, or a message in its place."""
+    wanted = F.lit(entity_id) if entity_id is not None else None
+    rows = dossiers.where(F.col("entity_id") == wanted) if entity_id is not None else dossiers
+    one = rows.agg(F.min_by(F.struct("entity_id", "report"), "entity_id").alias("r"))
+    message = F.concat(F.lit("Entity "), wanted, F.lit(" not found")) if entity_id is not None else F.lit("No entities")
+    return one.select(F.coalesce(F.col("r.entity_id"), wanted if entity_id is not None else F.lit(None).cast("string")).alias("entity_id"), F.coalesce("r.report", message).alias("report"))

@@ -25,26 +25,39 @@ def greedy_anchors(times: Column, width: int) -> Column:
     )
 
 
+#: Least length of a slice of time, in microseconds; slices are at least 16 windows' halves long, so few rows lie in two.
+SLICE = 86_400_000_000
+
+
 def fusion_events(signals: DataFrame, minutes: int = 30, lists: bool = True) -> DataFrame:
     """Windows of +-``minutes`` around anchors that hold two kinds of signals or more.
 
     ``signals``: entity_id, kind (bank, call, session), ts, id, injected. In
     the order of time a row anchors a window unless a kept window holds it;
     windows take in all rows, also those of windows before. Eligible anchors
-    come from one RANGE frame, the choice among them from a fold of the
-    entity's eligible times.
+    come from one RANGE frame over slices of an entity's time, which overlap
+    by a half window, so that a busy entity is many tasks. An eligible time
+    further than a half window from the one before is always kept; between
+    such times a fold chooses.
     """
     width = minutes * 60_000_000
+    size = max(SLICE, 16 * width)
     rows = signals.where("entity_id is not null and ts is not null").withColumn("us", micros("ts"))
-    frame = Window.partitionBy("entity_id").orderBy("us").rangeBetween(-width, width)
+    slice_of = lambda us: F.floor(us / size)
+    rows = rows.withColumn("slice", F.explode(F.sequence(slice_of(F.col("us") - width), slice_of(F.col("us") + width))))
+    frame = Window.partitionBy("entity_id", "slice").orderBy("us").rangeBetween(-width, width)
     of = lambda k: F.count(F.when(F.col("kind") == k, 1)).over(frame)
     own = {f"{k}_count": of(k) for k in KINDS} | {"is_injected": F.max(F.coalesce("injected", F.lit(False))).over(frame)}
     if lists:
         own |= {f"{k}_ids": F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("id"))).over(frame)) for k in KINDS}
-    framed = rows.select("entity_id", "us", *(c.alias(n) for n, c in own.items()))
+    framed = rows.select("entity_id", "slice", "us", *(c.alias(n) for n, c in own.items())).where(F.col("slice") == slice_of(F.col("us")))
     kinds = sum((F.col(f"{k}_count") > 0).cast("int") for k in KINDS)
-    eligible = framed.where(kinds >= 2).dropDuplicates(["entity_id", "us"])
-    anchors = eligible.groupBy("entity_id").agg(greedy_anchors(F.sort_array(F.collect_list("us")), width).alias("kept")).select("entity_id", F.explode("kept").alias("us"))
+    eligible = framed.where(kinds >= 2).drop("slice").dropDuplicates(["entity_id", "us"])
+    by = Window.partitionBy("entity_id").orderBy("us")
+    times = eligible.select("entity_id", "us").withColumn("before", F.lag("us").over(by))
+    first = F.when(F.col("before").isNull() | (F.col("us") - F.col("before") > width), F.col("us"))
+    times = times.withColumn("run", F.max(first).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    anchors = times.groupBy("entity_id", "run").agg(greedy_anchors(F.sort_array(F.collect_list("us")), width).alias("kept")).select("entity_id", F.explode("kept").alias("us"))
     risk = scores.fusion_risk(F.col("bank_count"), F.col("call_count"), F.col("session_count"), F.col("is_injected"))
     time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return eligible.join(anchors, ["entity_id", "us"]).select("entity_id", time(F.col("us") - width).alias("window_start"), time(F.col("us") + width).alias("window_end"), *own, risk.alias("risk_score"))
@@ -86,14 +99,27 @@ def top(df: DataFrame, key: str, n: int | None) -> DataFrame:
 def device_farms(pairs: DataFrame, top_n: int | None = 50, lists: bool = True) -> DataFrame:
     """Handsets by the SIMs seen in them. ``pairs``: imei, msisdn, source (cdr or ipdr)."""
     seen = pairs.where(F.col("imei").isNotNull())
+    # a set of numbers only where they are asked for: counted, no handset gathers its numbers
+    listed = [F.sort_array(F.collect_set("msisdn")).alias("msisdns")] if lists else []
     found = seen.groupBy("imei").agg(
-        F.collect_set("msisdn").alias("set"), F.count(F.when(F.col("source") == "cdr", 1)).alias("cdr_count"), F.count(F.when(F.col("source") == "ipdr", 1)).alias("ipdr_count"), F.count("msisdn").alias("total_record_count")
+        F.count_distinct("msisdn").alias("sim_count"), *listed, F.count(F.when(F.col("source") == "cdr", 1)).alias("cdr_count"), F.count(F.when(F.col("source") == "ipdr", 1)).alias("ipdr_count"), F.count("msisdn").alias("total_record_count")
     )
-    sims = F.size("set")
-    scored = found.select("imei", sims.cast("long").alias("sim_count"), *([F.sort_array("set").alias("msisdns")] if lists else []), "cdr_count", "ipdr_count", "total_record_count", scores.device_tier(sims).alias("risk_tier"), scores.device_risk(sims, F.col("total_record_count")).alias("risk_score"))
+    scored = found.withColumns({"risk_tier": scores.device_tier(F.col("sim_count")), "risk_score": scores.device_risk(F.col("sim_count"), F.col("total_record_count"))})
     return top(scored, "imei", top_n)
 
 
+def neighbourhood(edges: DataFrame, accounts: DataFrame, n: int = 15, most: int = 8) -> DataFrame:
+    """The edges among the ``n`` riskiest accounts and up to ``most`` senders and receivers of each, the first by name."""
+    chosen = accounts.orderBy(F.desc("risk_score"), "account").limit(n).select("account")
+    sides = []
+    for own, other in (("dst", "src"), ("src", "dst")):
+        rank = F.row_number().over(Window.partitionBy(own).orderBy(other))
+        sides.append(edges.join(F.broadcast(chosen), F.col(own) == F.col("account"), "left_semi").withColumn("rank", rank).where(F.col("rank") <= most).select(F.col(other).alias("account")))  # n accounts at most
+    nodes = chosen.union(sides[0]).union(sides[1]).distinct()
+    inside = edges.join(nodes, F.col("src") == F.col("account"), "left_semi")
+    return inside.join(nodes, F.col("dst") == F.col("account"), "left_semi")
+
+
 def call_points(calls: DataFrame, include_receiver: bool = True) -> DataFrame:
     """Both parties of a call at the caller's tower."""
     parties = F.array(*(F.struct(F.col(c).alias("msisdn"), F.lit(r).alias("role")) for c, r in (("Caller_MSISDN", "caller"), ("Receiver_MSISDN", "receiver"))[: 2 if include_receiver else 1]))
@@ -111,22 +137,33 @@ def impossible_travel(points: DataFrame, max_kmh: float = 800.0, min_km: float =
 
 
 def scaled_points(points: DataFrame) -> DataFrame:
-    """Per day: kilometres from the day's centre and hours from its first event, each over its deviation (1 if 0)."""
-    day = Window.partitionBy("day")
+    """Per day: kilometres from the day's centre and hours from its first event, each over its deviation (1 if 0).
+
+    The days' figures are aggregated with map-side combine and joined back, a
+    row a day, so a day isn't one task.
+    """
     rows = points.withColumn("day", F.to_date("ts"))
-    rows = rows.withColumns({"lat0": F.avg("lat").over(day), "lon0": F.avg("lon").over(day), "us0": F.min(micros("ts")).over(day), "day_points": F.count("*").over(day)})
+    centres = rows.groupBy(F.col("day").alias("_day")).agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"), F.min(micros("ts")).alias("us0"), F.count("*").alias("day_points"))
+    rows = rows.join(centres, F.col("day").eqNullSafe(F.col("_day"))).drop("_day")
     rows = rows.withColumns({"x": (F.col("lon") - F.col("lon0")) * scores.KM_PER_DEGREE * F.cos(F.radians("lat0")), "y": (F.col("lat") - F.col("lat0")) * scores.KM_PER_DEGREE, "t": F.floor((micros("ts") - F.col("us0")) / 1_000_000) / 3600.0})
-    return rows.withColumns({f"{c}s": (F.col(c) - F.avg(c).over(day)) / F.coalesce(F.nullif(F.stddev_pop(c).over(day), F.lit(0.0)), F.lit(1.0)) for c in "xyt"}).drop("lat0", "lon0", "us0")
+    spreads = rows.groupBy(F.col("day").alias("_day")).agg(*(F.avg(c).alias(f"_m{c}") for c in "xyt"), *(F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_s{c}") for c in "xyt"))
+    rows = rows.join(spreads, F.col("day").eqNullSafe(F.col("_day")))
+    return rows.withColumns({f"{c}s": (F.col(c) - F.col(f"_m{c}")) / F.col(f"_s{c}") for c in "xyt"}).drop("lat0", "lon0", "us0", "_day", *(f"_{k}{c}" for k in "ms" for c in "xyt"))
+
+
+#: A cell's neighbours that come after it in order; the others have it among theirs.
+AFTER = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
 
 
 def neighbours(points: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b) of points of a day at most ``eps`` apart in (xs, ys, ts_), itself included, by cells of that side."""
+    """Pairs (a, b) of points of a day at most ``eps`` apart in (xs, ys, ts_), a < b, by cells of that side: each two cells meet once."""
     cell = points.select("day", F.col("ord").alias("a"), F.col("xs").alias("ax"), F.col("ys").alias("ay"), F.col("ts_").alias("at"), *(F.floor(F.col(c) / eps).alias(f"c{c}") for c in ("xs", "ys", "ts_")))
-    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    spread = cell.select("day", F.col("a").alias("b"), F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("at").alias("bt"), F.col("cts_").alias("ct"), F.col("cxs").alias("cx"), F.col("cys").alias("cy"))
-    spread = spread.withColumn("i", step).withColumn("j", step).withColumn("k", step).select("day", "b", "bx", "by", "bt", (F.col("cx") + F.col("i")).alias("cxs"), (F.col("cy") + F.col("j")).alias("cys"), (F.col("ct") + F.col("k")).alias("cts_"))
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in [(0, 0, 0), *AFTER])))
+    spread = cell.withColumnsRenamed({"a": "b", "ax": "bx", "ay": "by", "at": "bt"}).withColumn("s", steps)
+    spread = spread.select("day", "b", "bx", "by", "bt", F.col("cxs") + F.col("s.i"), F.col("cys") + F.col("s.j"), F.col("cts_") + F.col("s.k"), (F.struct(F.col("s.i"), F.col("s.j"), F.col("s.k")) == F.struct(F.lit(0), F.lit(0), F.lit(0))).alias("same")).toDF("day", "b", "bx", "by", "bt", "cxs", "cys", "cts_", "same")
     d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) + F.pow(F.col("at") - F.col("bt"), 2)
-    return cell.join(spread, ["day", "cxs", "cys", "cts_"]).where(d2 <= eps * eps).select("day", "a", "b")
+    near = cell.join(spread, ["day", "cxs", "cys", "cts_"]).where((d2 <= eps * eps) & (~F.col("same") | (F.col("a") < F.col("b"))))
+    return near.select("day", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def co_location(points: DataFrame, eps: float = 0.5, min_samples: int = 3, min_entities: int = 2) -> DataFrame:
@@ -137,14 +174,17 @@ def co_location(points: DataFrame, eps: float = 0.5, min_samples: int = 3, min_e
     """
     scaled = staged(_with_scaled_time(points), "scaled")
     near = staged(neighbours(scaled, eps), "near")
-    core = near.groupBy(F.col("a").alias("core")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("core")
-    linked = near.join(core, F.col("a") == F.col("core")).select("a", "b")
-    both = linked.join(core, F.col("b") == F.col("core"), "left_semi")
-    label = connected_components(both, "a", "b")
-    clusters = linked.join(label, F.col("a") == F.col("node")).groupBy(F.col("b").alias("ord")).agg(F.min("component").alias("cluster"))
-    own = label.select(F.col("node").alias("ord"), F.col("component").alias("cluster"))
-    # a core point keeps its own cluster; min() would give the same, as all its core neighbours share it
-    placed = scaled.join(clusters.join(own, "ord", "left_anti").unionByName(own), "ord")
+    both_ways = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # each point is near itself
+    counts = both_ways.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples - 1).select(F.col("a").alias("core"))
+    core = staged(counts if min_samples > 1 else scaled.select(F.col("ord").alias("core")), "core")
+    of_cores = near.join(core, F.col("a") == F.col("core"), "left_semi").join(core, F.col("b") == F.col("core"), "left_semi")
+    loops = core.select(F.col("core").alias("a"), F.col("core").alias("b"))
+    own = staged(connected_components(of_cores.select("a", "b").union(loops), "a", "b").select(F.col("node").alias("ord"), F.col("component").alias("cluster")), "own")
+    # border points: near a core point, but none themselves
+    border = both_ways.join(core, F.col("b") == F.col("core"), "left_anti").withColumnsRenamed({"b": "border"})
+    border = border.join(own, F.col("a") == F.col("ord")).groupBy(F.col("border").alias("ord")).agg(F.min("cluster").alias("cluster"))
+    placed = scaled.join(own.unionByName(border), "ord")
     found = placed.groupBy("day", "cluster").agg(
         F.count("*").alias("point_count"), F.sort_array(F.collect_set("entity_id")).alias("entity_ids"), F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"), ((F.max(micros("time")) - F.min(micros("time"))) / 3_600_000_000.0).alias("time_span_hours"), F.slice(F.sort_array(F.collect_list("ord")), 1, 20).alias("events")
     )

@@ -4,10 +4,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.functions import identifiers as ids
 from tracewright.functions.similarity import common_subsequence, subsequence_ratio
-from tracewright.operators import audit, detectors, entities, statements
+from tracewright.operators import audit, detectors, entities, shaping, statements
 from tracewright.operators.components import connected_components
 from tracewright.sources import tables
 from tracewright.streaming import events as streaming
@@ -123,6 +124,30 @@ def test_planted_sequences(sources):
     assert points.count() == 20 and detectors.call_points(calls, include_receiver=False).count() == 10
 
 
+@pytest.mark.parametrize(("threshold", "seed"), [(85.0, 1), (80.0, 2), (60.0, 3), (95.0, 4)])
+def test_no_alike_pair_is_lost(spark, threshold, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9)))
+    names = ["katherine", "catherine", "rao kavita", "kavita rao", "x", "y", "", "  "] + [" ".join(word() for _ in range(rng.randrange(1, 3))) for _ in range(50)]
+    names += ["".join(c for c in n if rng.random() > 0.1) for n in names[:40]]
+    rows = [(f"e{i % 70}", n, rng.choice(["c:1", "c:2"])) for i, n in enumerate(names)] + [("e1", None, "c:1"), ("e2", "x", None)]
+
+    def ratio(a, b):
+        return 200 * common_subsequence(a, b) / (len(a) + len(b))
+
+    def tidy(n):
+        return " ".join(sorted(n.split()))
+
+    want = {}
+    for e, n, b in rows:
+        for f, m, c in rows:
+            if n and m and b and b == c and e != f and n != m and tidy(n) and tidy(m) and (score := ratio(tidy(n), tidy(m))) >= threshold:
+                want.setdefault(n, set()).add((-score, m, e, f))
+    best = {(e, n, f, m) for n, found in want.items() for top in [sorted({x[:2] for x in found})[:3]] for s, m, e, f in found if (s, m) in top}
+    got = entities.fuzzy_pairs(spark.createDataFrame(rows, "entity_id string, name string, block string"), threshold)
+    assert {tuple(r)[:4] for r in got.collect()} == best and len(best) >= (threshold < 90) * 5
+
+
 def test_alike_names_merge_with_a_weak_identifier_in_common(spark):
     rows = [("a", "niraj rathod", "c:pune"), ("b", "niraj rathodd", "c:pune"), ("c", "niraj rathodd", "c:goa"), ("d", "kavita rao", "c:pune")]
     got = entities.fuzzy_pairs(spark.createDataFrame(rows, "entity_id string, name string, block string")).select("a", "b").collect()
@@ -179,6 +204,82 @@ def test_farms_and_mules(spark):
     assert (mule["account"], mule["in_degree"], mule["out_degree"], mule["throughput_ratio"], mule["unique_senders"]) == ("m", 3, 1, 1.0, ["None", "a", "b"])
 
 
+def test_busy_entities_are_sliced(spark, monkeypatch):
+    monkeypatch.setattr(detectors, "SLICE", 1)
+    rng = random.Random(9)
+    rows = [("e", rng.choice(detectors.KINDS), minutes(rng.randrange(60 * 24 * 4)), str(i), False) for i in range(700)]
+    got = detectors.fusion_events(spark.createDataFrame(rows, "entity_id string, kind string, ts timestamp_ntz, id string, injected boolean"), 30).collect()
+    own = [((t - T0).total_seconds(), k) for _, k, t, *_ in rows]
+    assert {((r["window_start"] - T0).total_seconds() + 1800, r["bank_count"] + r["call_count"] + r["session_count"]) for r in got} == set(greedy(own, 1800))
+
+
+@pytest.mark.parametrize("header", [["Value Date", "Txn Date", "Chq Value Date", "Ref No", "WDL", "Credit.", "Closing"], ["Date", "Date", "Particulars", None, "value", "Debit/Credit", "x"]])
+def test_column_roles(header):
+    roles = {"Value Date": "value_date", "Txn Date": "date", "Chq Value Date": "chq_ref", "Ref No": "chq_ref", "WDL": "withdrawal", "Credit.": "deposit", "Closing": "balance", "Date": "date", "Particulars": "narration", "Debit/Credit": "withdrawal"}
+    assert statements.column_roles(header) == {roles[h]: i for i, h in enumerate(header) if h in roles}
+
+
+def test_place_columns(spark):
+    assert shaping.place_columns(["Receiver_Lat", "sender_lat", "Lon", "x"]) == ("sender_lat", "Lon")
+    assert shaping.place_columns(["Lat", "x"]) is None
+    assert shaping.ledger_points(spark.createDataFrame([("1",)], "Sender_Phone_Number string"), None).count() == 0
+
+
+def test_shapes(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, "y"), (3, "c", "z"), (None, "c", "z")], "k long, v string, w string")
+    assert [r["k"] for r in shaping.complete(df).collect()] == [3] and shaping.complete(df, "v").count() == 3
+    assert shaping.first_columns(shaping.prefixed(shaping.without(df, "w", "q"), "p_", keep=("k",)), "p_v").columns == ["p_v", "k"]
+    some = spark.createDataFrame([(1,), (None,), (9,)], "k long")
+    assert sorted(r["k"] for r in shaping.members(df, "k", some).collect()) == [1]
+    assert sorted(r["k"] or 0 for r in shaping.members(df, "k", some, inside=False).collect()) == [0, 2, 3]
+    changed = shaping.updated(df, F.col("v") == "c", v=F.col("w"), w=F.col("v")).where("k = 3").first()
+    assert (changed["v"], changed["w"]) == ("z", "c")
+    first = shaping.first_match(df, spark.createDataFrame([(3, 5, "late"), (3, 4, "soon")], "k long, at long, what string"), "k", "at").where("k = 3").first()
+    assert (first["first_at"], first["first_what"]) == (4, "soon")
+
+
+def test_channels_and_names(spark):
+    df = spark.range(4000).select("id", F.lit("IMPS").alias("imps"), F.lit("other").alias("other"), F.lit("Rahul Sharma").alias("name"))
+    got = df.select(ids.channel_of_mode("imps", "id").alias("i"), ids.channel_of_mode("other", "id").alias("o"), ids.name_variant("name", "id").alias("n")).toPandas()
+    assert abs((got.i == "Mobile_App").mean() - 0.7) < 0.05 and set(got.i) == {"Mobile_App", "Net_Banking"}
+    assert abs((got.o == "Branch").mean() - 0.1) < 0.03 and set(got.n) == {"Rahul Sharma", "Rahul S.", "rahul sharma", "Rahul"}
+    assert [tuple(r) for r in spark.createDataFrame([(None,), ("Asha",)], "n string").select(ids.name_variant("n", F.lit(1))).collect()] == [("Unknown",), ("Asha",)]
+
+
+def test_inferred_types(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,x,t,s,empty\n1,1.5,2025-01-02 03:04:05,a,\nNULL,2,NaN,1,NULL\n")
+    df = tables.read_inferred(spark, str(tmp_path / "a.csv"))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "timestamp_ntz", "string", "string"]
+    assert df.where("n is null and t is null and empty is null").count() == 1
+    assert tables.read_inferred(spark, str(tmp_path / "a.csv"), dates=False).dtypes[2][1] == "string"
+    assert tables.read_inferred(spark, str(tmp_path / "a.csv"), dates=False, parse_dates=("t",)).dtypes[2][1] == "timestamp_ntz"
+
+
+def test_dossier(spark):
+    none = "array<string>"
+    found = spark.createDataFrame([("phone:1", ["1"], [], ["h@ok"], [], ["asha"], [], ["9.9.9.9", "1.1.1.1"]), ("phone:2", ["2"], [], [], [], [], [], [])], f"entity_id string, phones {none}, accounts {none}, upis {none}, imeis {none}, names {none}, cities {none}, ips {none}")
+    points = lambda *rows: spark.createDataFrame(list(rows), "entity_id string, points double")
+    nothing = points(("phone:0", 0.0)).where("false")
+    risk = entities.entity_risk(points(("phone:1", 150.0)), points(("phone:1", 12.5)), points(("phone:1", 8.0)), nothing, nothing)
+    mules = spark.createDataFrame([("phone:1", "77", "bank a", 1234.5, 1000.0, 3, 4, 12.5), ("phone:1", "78", None, 1.0, 1.0, 1, 2, 99.0)], "entity_id string, account string, bank_name string, money_in double, money_out double, in_degree long, out_degree long, risk_score double")
+    farms = spark.createDataFrame([("phone:1", "35", 6, list("abcdef"), "critical", 8.0)], f"entity_id string, imei string, sim_count long, msisdns {none}, risk_tier string, risk_score double")
+    windows = spark.createDataFrame([("phone:1", minutes(i), minutes(60 + i), 1, 1, 1, i == 3, 50 + 100 * (i == 3)) for i in range(12)], "entity_id string, window_start timestamp_ntz, window_end timestamp_ntz, bank_count long, call_count long, session_count long, is_injected boolean, risk_score int")
+    got = entities.dossier(found, risk, mules, farms, windows)
+    texts = {r["entity_id"]: r["report"] for r in got.collect()}
+    one = texts["phone:1"].split("\n")
+    assert one[:2] == ["# Suspicious transaction report STR-20250101-phone:1", "## A. Subject"] and "| Handles | h@ok |" in one and "| Cities | *Not found in dataset* |" in one
+    assert "Score 170.50, tier HIGH" in one
+    at = one.index("| 78 |  | 1.00 | 1.00 | 1 | 2 | 99.00 |")
+    assert one[at + 1] == "| 77 | bank a | 1,234.50 | 1,000.00 | 3 | 4 | 12.50 |" and "| 35 | 6 | a, b, c, d, e... | CRITICAL | 8.00 |" in one
+    assert one[one.index("Addresses") + 1 :][:2] == ["- 1.1.1.1", "- 9.9.9.9"]
+    timeline = one[one.index("## D. Timeline") + 1 : one.index("## E. Next steps")]
+    assert len(timeline) == 10 and timeline[0] == "2025-03-01T12:03:00 to 2025-03-01T13:03:00: risk 150, 1 bank, 1 call, 1 session (injected)" and timeline[1].startswith("2025-03-01T12:00:00")
+    assert "- Seize the shared handsets." in one and "- Watch the shared places." not in one
+    assert "## D. Timeline" not in texts["phone:2"] and "Nothing was found by rule" in texts["phone:2"]
+    assert entities.report_of(got).first()["report"] == texts["phone:1"] and entities.report_of(got, "phone:2").first()["report"] == texts["phone:2"]
+    assert entities.report_of(got, "phone:9").first()["report"] == "Entity phone:9 not found" and entities.report_of(got.where("false")).first()["report"] == "No entities"
+
+
 def test_travel_needs_time_between(spark):
     rows = [("e", minutes(0), 10.0, 70.0, "cdr", 1), ("e", minutes(0), 20.0, 80.0, "cdr", 2), ("e", minutes(60), 10.0, 70.0, "cdr", 3), ("e", minutes(61), 10.0, 70.1, "cdr", 4)]
     got = detectors.impossible_travel(spark.createDataFrame(rows, "entity_id string, ts timestamp_ntz, lat double, lon double, source string, event_id long")).collect()

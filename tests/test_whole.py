@@ -1,8 +1,12 @@
 """Queries over whole tables against brute force."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tests.test_operators import textbook
+from tracewright.operators import detectors
 from tracewright.plans import queries as plans
+from tracewright.sources import adapters as ad
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,6 +69,24 @@ def test_farms_of_all_rows(spark):
     assert len(got) == 50 and all(r["sim_count"] == len(sims[r["imei"]]) for r in got)
 
 
+def test_hideouts_of_all_events(spark):
+    """Textbook density clustering of the whole small table, day by day."""
+    points = detectors.scaled_points(ad.geo(spark, SF).withColumn("time", F.col("ts"))).select("day", "event_id", "entity_id", "xs", "ys", F.col("ts").alias("t")).collect()
+    days = {}
+    for p in sorted(points, key=lambda p: p["event_id"]):
+        days.setdefault(p["day"], []).append(p)
+    want = []
+    for day, own in days.items():
+        label = textbook([(p["xs"], p["ys"], p["t"]) for p in own], 0.5, 3)
+        for k in set(label) - {None}:
+            inside = [p for p, x in zip(own, label) if x == k]
+            if len({p["entity_id"] for p in inside}) > 1:
+                want.append((str(day), len(inside), len({p["entity_id"] for p in inside})))
+    got = plans.QUERIES["hideouts"](spark, SF).collect()
+    assert sorted((str(r["day"]), r["point_count"], r["unique_entity_count"]) for r in got) == sorted(want) and want
+    assert sorted(r["cluster_id"] for r in got) == list(range(len(got)))
+
+
 def test_risk_has_all_five_parts(spark):
     got = {r["entity_id"]: r for r in plans.QUERIES["entity_risk_whole"](spark, SF).collect()}
     for part in ("fusion", "mule", "farm", "travel", "hideout"):

@@ -117,6 +117,71 @@ def canonical_channel(c: Column | str) -> Column:
     return F.when(_col(c) == "Internet_Banking", "Net_Banking").otherwise(_col(c))
 
 
+#: Channels by what the mode of a transfer holds (or, for the codes, is), in order.
+CHANNELS = (("Mobile_App", ("UPI",)), ("ATM", ("ATM", "WITHDRAWAL")), ("Branch", ("CASH DEPOSIT", "BRANCH")), ("Net_Banking", ("=NEFT", "=RTGS")), (None, ("IMPS",)), ("POS", ("POS", "CARD")))
+#: Shares of the channels, in per cent, where the mode leaves it open.
+IMPS_SHARES, OTHER_SHARES = {"Mobile_App": 70, "Net_Banking": 30}, {"Mobile_App": 60, "Net_Banking": 30, "Branch": 10}
+
+
+def shared_out(key: Column, shares: dict[str, int]) -> Column:
+    """One of the names by a hash of the key, each with its share in per cent: the same key gets the same name."""
+    place, found, upto = F.pmod(F.xxhash64(key), F.lit(100)), None, 0
+    for name, share in shares.items():
+        upto += share
+        found = F.when(place < upto, name) if found is None else found.when(place < upto, name)
+    return found
+
+
+def channel_of_mode(mode: Column | str, key: Column | str) -> Column:
+    """The channel that a transfer's mode tells; where it leaves it open, by a hash of the key."""
+    m, found = F.upper(_col(mode)), F
+    for channel, words in CHANNELS:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | (m == w[1:] if w.startswith("=") else m.contains(w))
+        found = found.when(hit, shared_out(_col(key), IMPS_SHARES) if channel is None else F.lit(channel))
+    return found.otherwise(shared_out(_col(key), OTHER_SHARES))
+
+
+#: Merchants that a mode implies.
+MODE_MERCHANTS = {"ATM": "ATM Withdrawal", "Cash Deposit": "Cash Deposit"}
+
+
+def merchant_category(merchant: Column | str, categories: dict[str, str], default: str = "Bank") -> Column:
+    """The merchant's category in the table, else ``default``."""
+    table = F.create_map(*(F.lit(x) for pair in categories.items() for x in pair))
+    return F.coalesce(table[_col(merchant)], F.lit(default))
+
+
+def merchant_of(mode: Column | str, merchant: Column | str) -> Column:
+    """The merchant that the mode implies, else the one given."""
+    found = F
+    for m, name in MODE_MERCHANTS.items():
+        found = found.when(_col(mode) == m, name)
+    return found.otherwise(_col(merchant))
+
+
+def name_variant(name: Column | str, key: Column | str) -> Column:
+    """The name as it is, with its second part as an initial, in lower case, or its first part alone, by a hash of the key. One part stays; null is Unknown."""
+    n = F.trim(_col(name))
+    parts = F.split(n, r"\s+")
+    which = F.pmod(F.xxhash64(_col(key)), F.lit(4))
+    varied = F.when(which == 0, _col(name)).when(which == 1, F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.substring(F.get(parts, F.lit(1)), 1, 1), F.lit("."))).when(which == 2, F.lower(_col(name))).otherwise(F.get(parts, F.lit(0)))
+    return F.when(_col(name).isNull(), "Unknown").when(F.size(parts) == 1, _col(name)).otherwise(varied)
+
+
+def iso_time(c: Column | str) -> Column:
+    """ISO 8601 without zone; microseconds where there are any."""
+    c = _col(c)
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(F.concat(whole, F.lit("."), F.date_format(c, "SSSSSS")))
+
+
+def raised(score: Column | str, by: float, most: float = 100.0) -> Column:
+    """The score raised, up to ``most``."""
+    return F.least(_col(score) + F.lit(by), F.lit(most))
+
+
 def salary_per_month(c: Column | str) -> Column:
     return F.round(F.regexp_replace(_col(c).cast("string"), "[^0-9]", "").try_cast("double") / 12).cast("long")
 

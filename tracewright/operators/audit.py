@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.detectors import micros
+from tracewright.session import staged
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -100,6 +101,47 @@ def coincidences(bank: DataFrame, calls: DataFrame, sessions: DataFrame, minutes
     return kept(kept(rows, calls), sessions).drop("us")
 
 
+def call_quality(calls: DataFrame) -> DataFrame:
+    """One row: missed and failed calls and those of them without length; completed calls, and those whose length differs from their ends by over a second."""
+    length, status, kind = F.col("Call_Duration_Seconds"), F.col("Call_Status"), F.col("Call_Type")
+    missed, failed = kind == "Missed", status == "Failed"
+    completed = (status == "Completed") & kind.isin("Incoming", "Outgoing")
+    between = (micros("Call_End_Time") - micros("Call_Start_Time")) / 1_000_000
+    return calls.agg(
+        F.count_if(missed).alias("missed"), F.count_if(missed & (length == 0)).alias("missed_without_length"),
+        F.count_if(failed).alias("failed"), F.count_if(failed & (length == 0)).alias("failed_without_length"),
+        F.count_if(completed).alias("completed"), F.count_if(completed & (F.abs(length - between) > 1)).alias("mismatched"),
+    )
+
+
+def described(df: DataFrame, *columns: str, exact: bool = True) -> DataFrame:
+    """Count, mean, sample deviation, least, quartiles and greatest of numeric columns. ``exact=False``: quartiles by sketches of bounded size, for tables too large for exact ones."""
+    at = F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))
+
+    def one(c: str) -> Column:
+        v = F.col(c).cast("double")
+        quartiles = F.percentile(v, at) if exact else F.percentile_approx(v, at)
+        parts = {"n": F.count(v), "mean": F.avg(v), "deviation": F.stddev_samp(v), "least": F.min(v), "greatest": F.max(v)}
+        return F.struct(F.lit(c).alias("column_name"), *(x.alias(n) for n, x in parts.items()), quartiles.alias("q"))
+
+    made = df.agg(F.array(*map(one, columns)).alias("p")).select(F.explode("p").alias("x")).select("x.*")
+    return made.select("column_name", "n", "mean", "deviation", "least", *(F.col("q")[i].alias(n) for i, n in enumerate(("quarter", "half", "three_quarters"))), "greatest")
+
+
+def reconciled(chains: DataFrame, length: str, rows: DataFrame, flag: Column) -> DataFrame:
+    """One row: the sum of the chains' lengths, the flagged rows, and whether they agree."""
+    summed = chains.agg(F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("in_chains"))
+    return summed.join(rows.agg(F.count_if(flag).alias("flagged"))).withColumn("agree", F.col("in_chains") == F.col("flagged"))  # a row each
+
+
+def verified_overlap(persons: DataFrame, **sets: DataFrame) -> DataFrame:
+    """Each person (person, phone) and whether the phone is in each of the one-column sets."""
+    for name, df in sets.items():
+        own = df.select(F.col(df.columns[0]).alias(f"_{name}")).where(F.col(f"_{name}").isNotNull()).distinct()
+        persons = persons.join(own, F.col("phone") == F.col(f"_{name}"), "left").withColumn(f"in_{name}", F.col(f"_{name}").isNotNull()).drop(f"_{name}")
+    return persons
+
+
 def running_balance(df: DataFrame, key: str, ts: str, tie: str, signed: str, start: float = 0.0) -> DataFrame:
     by = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("balance", F.lit(start) + F.sum(F.col(signed).cast("decimal(18,2)")).over(by).cast("double"))
@@ -108,8 +150,6 @@ def running_balance(df: DataFrame, key: str, ts: str, tie: str, signed: str, sta
 def sequential_ids(df: DataFrame, *order: str, prefix: str = "TXN", digits: int = 10) -> DataFrame:
     """Ids in the order of the columns. Ranges of the order are numbered apart, then shifted by the counts before them."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    from tracewright.session import staged
-
     ranged = staged(ranged, "ranged")
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))

@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import identifiers as ids
-from tracewright.operators import audit, detectors, entities
+from tracewright.operators import audit, detectors, entities, shaping
 from tracewright.operators.components import connected_components
+from tracewright.plans.fragments import EDGES, FARMS, GEO, K, LEDGER, MULES, ROWS, SIGNALS, alike, fused, haversine_sql
+from tracewright.plans.registry import ORACLES, QUERIES, query
 from tracewright.sources import adapters as ad
 from tracewright.streaming import events as streaming
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def take(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return take
-
-
-K = "cast(json_extract_string(props, '$.k') as int)"
-LEDGER = "(select o_custkey % 400 as src, l_partkey % 400 as dst, l_extendedprice as amount, o_orderstatus = 'F' as ok, o_orderdate as ts, l_orderkey as id from lineitem join orders on l_orderkey = o_orderkey)"
-EDGES = f"(select src, dst, sum(cast(amount as decimal(18,2))) as amount, count(amount) as n_txn, 'bank' || (src % 7) as src_bank, 'bank' || (dst % 7) as dst_bank from {LEDGER} where ok group by src, dst)"
-GEO = f"(select user_id as entity_id, ts, 8 + (29 * {K} % 2900) / 100.0::double as lat, 68 + ((53 * {K} + user_id) % 2900) / 100.0::double as lon, event_id from events)"
-SIGNALS = f"(select user_id as entity_id, case when event_type = 'purchase' then 'bank' when event_type in ('signup', 'error') then 'call' else 'session' end as kind, epoch_us(ts) as us, event_id as id, {K} = 7 as injected from events)"
-PAIRS = "(select cast(l_partkey as varchar) as imei, cast(o_custkey as varchar) as msisdn, l_linestatus = 'O' as cdr from lineitem join orders on l_orderkey = o_orderkey where l_quantity >= 48)"
-
-
-def haversine_sql(a: str, b: str, c: str, d: str) -> str:
-    h = f"(power(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * power(sin(radians({d} - {b}) / 2), 2))"
-    return f"(2 * 6371.0 * atan2(sqrt({h}), sqrt(1 - {h})))"
-
-
 @query(f"select event_id, ts, {K} as k, round(value, 2) as amount from events where event_type = 'purchase'")
 def scan_typed_events(spark, d):
     return ad.table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "ts", ad.prop().alias("k"), F.round("value", 2).alias("amount"))
@@ -103,21 +74,11 @@ def ledger_edges(spark, d):
     return detectors.ledger_edges(ad.ledger(spark, d)).withColumn("amount", F.col("amount").cast("double"))
 
 
-@query(f"""with e as {EDGES}, n as (
-  select account, count(*) filter (side = 'in') as in_degree, count(*) filter (side = 'out') as out_degree, coalesce(sum(amount) filter (side = 'in'), 0)::double as money_in, coalesce(sum(amount) filter (side = 'out'), 0)::double as money_out, min(bank) as bank_name
-  from (select dst::varchar as account, 'in' as side, amount, dst_bank as bank from e union all select src::varchar, 'out', amount, src_bank from e) group by account having count(*) >= 3)
-  , r as (select *, case when greatest(money_in, money_out) > 0 then least(money_in, money_out) / greatest(money_in, money_out) else 0 end as ratio, money_in + money_out as volume from n)
-  select account, in_degree, out_degree, money_in, money_out, bank_name, round(ratio, 4) as throughput_ratio, round(volume, 2) as total_volume, round((in_degree + 1) * (out_degree + 1) * ratio * ln(1 + volume), 4) as risk_score
-  from r order by risk_score desc, account limit 50""")
+@query(f"with {MULES} select * from mules")
 def mule_accounts_top50(spark, d):
     return detectors.mule_accounts(detectors.ledger_edges(ad.ledger(spark, d)), neighbours=False)
 
 
-FARMS = f"""with g as (select imei, count(distinct msisdn) as sim_count, count(*) filter (cdr) as cdr_count, count(*) filter (not cdr) as ipdr_count, count(msisdn) as total_record_count from {PAIRS} group by imei)
-  select *, case when sim_count >= 6 then 'critical' when sim_count >= 4 then 'high' when sim_count >= 3 then 'medium' else 'low' end as risk_tier,
-  case when sim_count > 1 then round(power(sim_count - 1.0, 1.8) * ln(1 + total_record_count::double), 4) else 0.0 end as risk_score from g order by risk_score desc, imei limit 50"""
-
-
 @query(FARMS)
 def device_farms_top50(spark, d):
     return detectors.device_farms(ad.device_pairs(spark, d, "l_quantity >= 48"), lists=False)
@@ -128,20 +89,6 @@ def device_farms_whole_top50(spark, d):
     return detectors.device_farms(ad.device_pairs(spark, d), lists=False)
 
 
-FUSED = f"""with s as {SIGNALS}, f as (select *, count(*) filter (kind = 'bank') over w as bank_count, count(*) filter (kind = 'call') over w as call_count, count(*) filter (kind = 'session') over w as session_count, max(injected::int) over w = 1 as is_injected
-  from s window w as (partition by entity_id order by us range between WIDTH::bigint preceding and WIDTH::bigint following)),
-  e as (select distinct entity_id, us, bank_count, call_count, session_count, is_injected from f where (bank_count > 0)::int + (call_count > 0)::int + (session_count > 0)::int >= 2),
-  k as (select entity_id, unnest(list_reduce(list_prepend([]::bigint[], list_transform(list_sort(list(us)), lambda t: [t])), lambda a, x: case when len(a) = 0 or x[1] > a[len(a)] + WIDTH::bigint then list_concat(a, x) else a end)) as us from e group by entity_id),
-  r as (select e.*, (case when bank_count > 0 and call_count > 0 and session_count > 0 then 50 when bank_count > 0 and (call_count > 0 or session_count > 0) then 30 else 0 end + case when is_injected then 100 else 0 end) as risk_score from e join k using (entity_id, us))"""
-
-
-def fused(width: int, select: str) -> str:
-    return FUSED.replace("WIDTH", str(width)) + select
-
-
-ROWS = " select entity_id, make_timestamp(us - WIDTH::bigint) as window_start, make_timestamp(us + WIDTH::bigint) as window_end, bank_count, call_count, session_count, is_injected, risk_score from r"
-
-
 @query(fused(1_800_000_000, ROWS.replace("WIDTH", "1800000000")))
 def temporal_fusion(spark, d):
     return detectors.fusion_events(ad.signals(spark, d), 30, lists=False)
@@ -235,17 +182,32 @@ def cascade_lookup_whole(spark, d):
     return looked_up(spark, d, entities.entity_map(ad.identity_edges(spark, d)))
 
 
-@query()
+@query(alike("(select min(p_partkey) as k, p_name as name, 'all' as block from part group by p_name)", 80) + " select a, name_a, b, name_b, score from best where place <= 3")
 def fuzzy_name_pairs(spark, d):
-    parts = ad.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    return entities.fuzzy_pairs(parts.select(F.concat(F.lit("e"), F.col("k").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), F.lit("all").alias("block")), 80.0)
+    return entities.fuzzy_pairs(named_parts(spark, d, F.lit("all")), 80.0)
 
 
-@query()
+BY_BRAND = "(select min(p_partkey) as k, p_name as name, p_brand as block from part group by p_name, p_brand)"
+
+
+@query(alike(BY_BRAND, 85) + " select a, name_a, b, name_b, score from best where place <= 3")
+def fuzzy_name_pairs_by_brand(spark, d):
+    return entities.fuzzy_pairs(named_parts(spark, d, F.col("p_brand")), 85.0)
+
+
+MERGED = """, u as (select a, b from best where place <= 3 union select b, a from best where place <= 3), reached(node, seen) as (select a, a from u union select reached.node, u.b from reached join u on reached.seen = u.a)
+  select node, min(seen) as component from reached group by node"""
+
+
+@query(alike("(select min(p_partkey) as k, p_name as name, 'all' as block from part group by p_name)", 80).replace("with ", "with recursive ", 1) + MERGED)
 def fuzzy_entity_merge(spark, d):
-    parts = ad.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    named = parts.select(F.concat(F.lit("e"), F.col("k").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), F.lit("all").alias("block"))
-    return connected_components(entities.fuzzy_pairs(named, 80.0), "a", "b")
+    return connected_components(entities.fuzzy_pairs(named_parts(spark, d, F.lit("all")), 80.0), "a", "b")
+
+
+def named_parts(spark: SparkSession, d: str, block) -> DataFrame:
+    """Parts as entities with a name and a block in which names may merge."""
+    parts = ad.table(spark, d, "part").groupBy("p_name", block.alias("block")).agg(F.min("p_partkey").alias("k"))
+    return parts.select(F.concat(F.lit("e"), F.col("k").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), "block")
 
 
 @query(f"select a.src::varchar as src, a.dst::varchar as dst, a.amount::double as amount, b.amount::double as amount_back from {EDGES} a join {EDGES} b on a.src = b.dst and a.dst = b.src")
@@ -302,6 +264,12 @@ def customers_without_orders(spark, d):
     return ad.table(spark, d, "customer").select("c_custkey").join(ad.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").distinct()
 
 
+@query("select c_custkey from customer except select o_custkey from orders where o_orderstatus = 'P'")
+def customers_without_partial_orders(spark, d):
+    partial = ad.table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey")
+    return shaping.members(ad.table(spark, d, "customer").select("c_custkey"), "c_custkey", partial, inside=False).distinct()
+
+
 @query("select month(o_orderdate) as month, count(*) as n, min(o_orderdate) as first, max(o_orderdate) as last from orders group by 1")
 def monthly_histogram(spark, d):
     return ad.table(spark, d, "orders").groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
@@ -352,6 +320,15 @@ def coincidence_3way(spark, d):
     return audit.coincidences(of["bank"], of["call"], of["session"]).select("id")
 
 
+COINCIDENT = ORACLES["coincidence_3way"].replace("1800000000", "21600000000")
+
+
+@query(COINCIDENT)
+def coincidence_3way_6h(spark, d):
+    of = {k: ad.signals(spark, d).where(F.col("kind") == k).select(F.col("entity_id").alias("phone"), "ts", "id") for k in detectors.KINDS}
+    return audit.coincidences(of["bank"], of["call"], of["session"], minutes=360).select("id")
+
+
 @query("select o_custkey, o_orderkey, (1000.0 + sum(cast(case when o_orderstatus = 'F' then -o_totalprice else o_totalprice end as decimal(18,2))) over (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding)::double) as balance from orders")
 def running_balance(spark, d):
     rows = ad.table(spark, d, "orders").withColumn("signed", F.when(F.col("o_orderstatus") == "F", -F.col("o_totalprice")).otherwise(F.col("o_totalprice")))
@@ -403,9 +380,72 @@ def entity_risk_whole(spark, d):
 @query()
 def entity_dossier(spark, d):
     risk = entity_risk_whole(spark, d)
+    mules, farms, windows = findings(spark, d)
+    lines = ad.device_pairs(spark, d).select(F.col("msisdn").alias("entity_id"), F.col("imei"))
+    handsets = lines.groupBy("entity_id").agg(F.sort_array(F.collect_set("imei")).alias("imeis"))
     events = ad.table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("entity_id")).agg(F.sort_array(F.collect_set("event_type")).alias("names"))
-    none = F.array().cast("array<string>")
-    return entities.dossier(events.select("entity_id", F.array("entity_id").alias("phones"), "names", *(none.alias(c) for c in ("accounts", "upis", "imeis", "cities"))), risk)
+    found = events.join(handsets, "entity_id", "left")
+    city = ad.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("entity_id"), F.array(F.col("c_nationkey").cast("string")).alias("cities"))
+    found = found.join(city, "entity_id", "left").select("entity_id", F.array("entity_id").alias("phones"), F.array(F.concat(F.lit("account "), "entity_id")).alias("accounts"), F.array(F.concat("entity_id", F.lit("@ok"))).alias("upis"), "imeis", "names", "cities", F.array(F.concat(F.lit("10.0.0."), "entity_id")).alias("ips"))
+    return entities.dossier(found, risk, mules, farms, windows)
+
+
+def findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The riskiest accounts and handsets, and all fused windows, by entity."""
+    mules = detectors.mule_accounts(detectors.ledger_edges(ad.ledger(spark, d)), neighbours=False).withColumn("entity_id", F.col("account"))
+    farms = detectors.device_farms(ad.device_pairs(spark, d)).withColumn("entity_id", F.explode("msisdns"))
+    return mules, farms, detectors.fusion_events(ad.signals(spark, d), 30, lists=False)
+
+
+TIMELINE = """, o as (select *, row_number() over (partition by entity_id order by risk_score desc, us) as place from r)
+  select entity_id::varchar as entity_id, string_agg(strftime(make_timestamp(us - 1800000000), '%Y-%m-%dT%H:%M:%S') || case when us % 1000000 = 0 then '' else '.' || lpad((us % 1000000)::varchar, 6, '0') end || ' to ' || strftime(make_timestamp(us + 1800000000), '%Y-%m-%dT%H:%M:%S') || case when us % 1000000 = 0 then '' else '.' || lpad((us % 1000000)::varchar, 6, '0') end
+  || ': risk ' || risk_score || ', ' || bank_count || ' bank, ' || call_count || ' call, ' || session_count || ' session' || case when is_injected then ' (injected)' else '' end, chr(10) order by risk_score desc, us) as timeline from o where place <= 10 group by entity_id"""
+
+
+@query(fused(1_800_000_000, TIMELINE))
+def dossier_timeline(spark, d):
+    return entities.timeline_lines(findings(spark, d)[2])
+
+
+@query(f"""with {MULES} select account as entity_id, '| ' || account || ' | ' || bank_name || ' | ' || format('{{:,.2f}}', money_in) || ' | ' || format('{{:,.2f}}', money_out) || ' | ' || in_degree || ' | ' || out_degree || ' | ' || format('{{:,.2f}}', risk_score) || ' |' as accounts_table from mules""")
+def dossier_accounts(spark, d):
+    return entities.account_lines(findings(spark, d)[0])
+
+
+SIMS = "select imei, list_sort(list(distinct msisdn)) as msisdns from (select cast(l_partkey as varchar) as imei, cast(o_custkey as varchar) as msisdn from lineitem join orders on l_orderkey = o_orderkey) group by imei"
+
+
+@query(f"""with top as ({FARMS.replace(' where l_quantity >= 48', '')}), s as ({SIMS}), x as (select unnest(msisdns) as entity_id, top.imei, risk_score, '| ' || top.imei || ' | ' || sim_count || ' | ' || array_to_string(msisdns[1:5], ', ') || case when len(msisdns) > 5 then '...' else '' end || ' | ' || upper(risk_tier) || ' | ' || format('{{:,.2f}}', risk_score) || ' |' as line from top join s on top.imei = s.imei)
+  select entity_id, string_agg(line, chr(10) order by risk_score desc, imei) as handsets_table from x group by entity_id""")
+def dossier_handsets(spark, d):
+    return entities.handset_lines(findings(spark, d)[1])
+
+
+@query(fused(1_800_000_000, f""", x as (select r.*, make_timestamp(us) as at from r)
+  select x.entity_id, x.at - interval 30 minutes as window_start, array_to_string(list_sort(list(s.id) filter (s.kind = 'bank')), ',') as bank_ids, array_to_string(list_sort(list(s.id) filter (s.kind = 'call')), ',') as call_ids, array_to_string(list_sort(list(s.id) filter (s.kind = 'session')), ',') as session_ids
+  from x join {SIGNALS} s on s.entity_id = x.entity_id and s.us between x.us - 1800000000 and x.us + 1800000000 group by x.entity_id, x.at"""))
+def temporal_fusion_ids(spark, d):
+    """The id lists of the windows; an empty list is null here, as the SQL has it."""
+    listed = lambda c: F.nullif(F.array_join(c, ","), F.lit("")).alias(c)
+    return detectors.fusion_events(ad.signals(spark, d), 30).select("entity_id", "window_start", *(listed(f"{k}_ids") for k in detectors.KINDS))
+
+
+@query(f"""with {MULES}, x as (select dst::varchar as account, src::varchar as other, 'in' as side from e union all select src::varchar, dst::varchar, 'out' from e)
+  select m.account, array_to_string(list_sort(list(distinct other) filter (side = 'in')), ',') as senders, array_to_string(list_sort(list(distinct other) filter (side = 'out')), ',') as receivers from mules m join x using (account) group by m.account""")
+def mule_neighbours_top50(spark, d):
+    found = detectors.mule_accounts(detectors.ledger_edges(ad.ledger(spark, d)))
+    return found.select("account", F.array_join("unique_senders", ",").alias("senders"), F.array_join("unique_receivers", ",").alias("receivers"))
+
+
+@query(f"""with {MULES}, c as (select account from mules order by risk_score desc, account limit 15), g as (select src::varchar as s, dst::varchar as t, amount, n_txn from e),
+  i as (select s as account from (select s, row_number() over (partition by t order by s) as place from g where t in (select account from c)) where place <= 8),
+  o as (select t as account from (select t, row_number() over (partition by s order by t) as place from g where s in (select account from c)) where place <= 8),
+  nodes as (select account from c union select account from i union select account from o)
+  select s as src, t as dst, amount::double as amount, n_txn from g where s in (select account from nodes) and t in (select account from nodes)""")
+def mule_neighbourhood(spark, d):
+    edges = detectors.ledger_edges(ad.ledger(spark, d))
+    found = detectors.neighbourhood(edges, detectors.mule_accounts(edges, neighbours=False))
+    return found.select("src", "dst", F.col("amount").cast("double").alias("amount"), "n_txn")
 
 
 @query("select time_bucket(interval '60 minutes', ts) as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
@@ -428,3 +468,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal_fusion(spark, sf_dir)
 
 
+# registers the queries over files, columns and lookups
+from tracewright.plans import shaped  # noqa: E402, F401

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.session import scratch_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,3 +46,10 @@ def identity_edges(spark: SparkSession, sf_dir: str, only: str = "true") -> Data
     lines = table(spark, sf_dir, "lineitem").where(only).select("l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("phone:"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("imei:"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+
+
+def as_csv(df: DataFrame, name: str) -> str:
+    """Writes rows as CSV with a header into the scratch folder, for the loaders to read; returns the path."""
+    path = f"{scratch_dir(df.sparkSession)}/csv-{uuid.uuid4().hex}/{name}"
+    df.write.option("header", True).csv(path)
+    return path

@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.windows import with_window_hashes
+from tracewright.llm.windows import packed, with_window_hashes
 from tracewright.session import staged
 
 #: What stands between words, after A-Z are lower-cased.
@@ -106,31 +106,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     )
 
 
+def text_keys(text: Column) -> dict[str, Column]:
+    """128 bits of hashes of a text: equal texts are judged alike, whatever their doc_id."""
+    text = F.coalesce(text, F.lit(""))
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
+
+
 def with_text_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with 128 bits of hashes of text: equal texts are judged alike, whatever their doc_id."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)})
+    """The rows of ``docs`` as one column ``own``, beside t1 and t2."""
+    return docs.select(packed(docs), *(c.alias(n) for n, c in text_keys(F.col("text")).items()))
 
 
 def found_by_text(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    return hits(with_text_key(docs.select("doc_id", "text")), benchmark, window, keep=("_t1", "_t2")).where("at > 0")
+    return hits(docs.select("doc_id", "text").withColumns(text_keys(F.col("text"))), benchmark, window, keep=("t1", "t2")).where("at > 0")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the contaminated rows, with or without doc_id. All columns as they were."""
-    dirty = found_by_text(docs, benchmark, window).select("_t1", "_t2").distinct()
-    return with_text_key(docs).join(dirty, ["_t1", "_t2"], "left_anti").select(*docs.columns)
+    dirty = found_by_text(docs, benchmark, window).select("t1", "t2").distinct()
+    return with_text_key(docs).join(dirty, ["t1", "t2"], "left_anti").select("own.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with the words inside benchmark windows, and what follows each up to the next word, cut out of text."""
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce("own.text", F.lit(""))
     found = found_by_text(docs, benchmark, window)
-    cut = found.groupBy("_t1", "_t2").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("_cut"))
+    cut = found.groupBy("t1", "t2").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("cut"))
     word = SEPARATORS[:-1].replace("[", "[^", 1).replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60") + "+"
     gap = word[:-1].replace("[^", "[", 1) + "*"
     units = F.regexp_extract_all(text, F.lit(f"{word}{gap}"), F.lit(0))
     lead = F.regexp_extract(text, f"^{gap}", 0)
-    kept = F.array_join(F.filter(F.col("_units"), lambda u, i: ~F.array_contains(F.col("_cut"), i + 1)), "")
-    joined = with_text_key(docs).join(cut, ["_t1", "_t2"], "left").withColumn("_units", F.when(F.col("_cut").isNotNull(), units))
-    return joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat(lead, kept))).select(*docs.columns)
+    kept = F.array_join(F.filter(F.col("units"), lambda u, i: ~F.array_contains(F.col("cut"), i + 1)), "")
+    joined = with_text_key(docs).join(cut, ["t1", "t2"], "left").withColumn("units", F.when(F.col("cut").isNotNull(), units))
+    own = [F.col("own")[c].alias(c) if c != "text" else F.when(F.col("cut").isNull(), F.col("own.text")).otherwise(F.concat(lead, kept)).alias("text") for c in docs.columns]
+    return joined.select(*own)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.batches import map_batches, map_iterators, texts_of
 from tracewright.llm.shingles import shingle_sets
+from tracewright.llm.windows import packed
 from tracewright.operators.components import connected_components
 from tracewright.session import release, staged
 
@@ -223,11 +224,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id, or any row if none has one. Repeated rows are near copies too."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), size, percent).where("doc_id <> component_id")
-    found = staged(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "copies")
-    grouped = found.union(found.select("_group", "_group").distinct())
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    kept = rows.select("_row", "doc_id").join(grouped, "_row").groupBy("_group").agg(F.min(order).alias("o")).select(F.col("o.row").alias("_row"))
-    lost = grouped.select("_row").join(kept, "_row", "left_anti")
-    return rows.join(lost, "_row", "left_anti").select(*docs.columns)
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), packed(docs)), "rows")
+    plain = rows.select("row", F.col("own.doc_id").alias("doc_id"), F.col("own.text").alias("text"))
+    found = near_duplicates(plain.select(F.col("row").alias("doc_id"), "text"), size, percent).where("doc_id <> component_id")
+    found = staged(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "copies")
+    grouped = found.union(found.select("group", "group").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    kept = plain.select("row", "doc_id").join(grouped, "row").groupBy("group").agg(F.min(order).alias("o")).select(F.col("o.row").alias("row"))
+    lost = grouped.select("row").join(kept, "row", "left_anti")
+    return rows.join(lost, "row", "left_anti").select("own.*")

@@ -173,7 +173,7 @@ def worth_searching(kind: str, needs: str) -> Column:
 def spans_with_votes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: spans (order, kind, start, end, base, votes, length class), base ones valid, others candidates. ``keep``: columns to carry in ``own``."""
     text = F.coalesce("text", F.lit(""))
-    own = [F.struct(*keep).alias("own")] if keep else []
+    own = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("own")] if keep else []
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *own, text.alias("text"))
     every = []
     for kind, order, pattern, needs, base in KINDS:

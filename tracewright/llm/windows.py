@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that theirs and an operator's names can't clash; ``own.*`` unpacks them."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+
+
 def shifted(name: str, by: int):
     return F.slice(name, by + 1, F.greatest(F.size(name) - by, F.lit(0)))
 

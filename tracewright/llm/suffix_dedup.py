@@ -5,9 +5,12 @@
 2. Equal stretches under one anchor are pre-aggregated to one with a weight.
 3. Anchors with several stretches send their bytes to suffix arrays, sorted in
    two stages; adjacent common prefixes tell which strings repeat.
-4. An anchor with more than ``most`` different stretches (a passage in very
-   many documents) is counted by string instead, as an aggregation that
-   combines on the map side, so it never gathers in one task.
+4. The stretches of an anchor that has more than ``most`` of them (a passage in
+   very many documents) are split by a second anchor, and go through the same
+   steps under both: what lies inside the passage becomes equal, what reaches
+   beyond it parts. So no anchor gathers its stretches in one task. What still
+   has more after ROUNDS splits is counted by string, as an aggregation that
+   combines on the map side.
 5. Repeated strings go back to all places of their stretches, and each
    document loses the bytes that they cover.
 """
@@ -23,12 +26,14 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.batches import map_batches, texts_of
 from tracewright.llm.shingles import _TABLE, U, mixed, powers
-from tracewright.llm.suffixes import anchors, repeated_starts, runs
+from tracewright.llm.suffixes import anchors, repeated_starts, runs, split
 from tracewright.session import staged
 
 STRETCH = ["anchor", "content", "width", "place"]
 #: Bytes put into one suffix array, but for a single anchor's.
 BATCH = 256 << 10
+#: How often the stretches of a hot anchor are split by a further one.
+ROUNDS = 3
 
 
 def marked(docs: DataFrame, length: int) -> DataFrame:
@@ -58,11 +63,15 @@ def small(df: DataFrame, rows: int, row_bytes: int, most_bytes: int) -> DataFram
     return F.broadcast(df) if rows * row_bytes <= most_bytes else df
 
 
-def bytes_of(wanted: DataFrame, docs: DataFrame, length: int, most_bytes: int) -> DataFrame:
-    """``wanted`` stretches (doc_id, start, ...) with their bytes; those marked ``large`` with their strings' hashes instead."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*STRETCH, "start", "n", "large")).alias("wanted"))
-    lists = small(lists, wanted.count(), 96, most_bytes)  # a struct of 7 fields and its place in the list; a document has one at least
-    both = docs.select("doc_id", "text")
+def with_lists(wanted: DataFrame, docs: DataFrame, most_bytes: int) -> DataFrame:
+    """text and the stretches ``wanted`` of it (STRETCH, doc_id, start, n), for documents that have any."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*STRETCH, "start", "n")).alias("wanted"))
+    lists = small(lists, wanted.count(), 96, most_bytes)  # a struct of 6 fields and its place in the list; a document has one at least
+    return docs.select("doc_id", "text").join(lists, "doc_id")
+
+
+def bytes_of(wanted: DataFrame, docs: DataFrame, length: int, most_bytes: int, hashed: bool = False) -> DataFrame:
+    """``wanted`` stretches with their bytes, or with their strings' hashes instead."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
         rows = []
@@ -70,11 +79,32 @@ def bytes_of(wanted: DataFrame, docs: DataFrame, length: int, most_bytes: int) -
             data = text.encode()
             for w in wanted_here:
                 own = data[w["start"] : w["start"] + w["width"] + length]
-                rows.append((*(w[c] for c in STRETCH), w["n"], None if w["large"] else own, string_hashes(own, length) if w["large"] else None))
-        return dict(zip((*STRETCH, "n", "data", "hashes"), map(list, zip(*rows, strict=True)), strict=True))
+                rows.append((*(w[c] for c in STRETCH), w["n"], string_hashes(own, length) if hashed else own))
+        return dict(zip((*STRETCH, "n", "data"), map(list, zip(*rows, strict=True)), strict=True))
+
+    schema = f"anchor long, content long, width smallint, place smallint, n long, data {'array<long>' if hashed else 'binary'}"
+    return map_batches(with_lists(wanted, docs, most_bytes).select("text", "wanted"), run, schema)
+
+
+PARENT = [f"of_{c}" for c in STRETCH]
+
+
+def parts_of(wanted: DataFrame, docs: DataFrame, length: int, most_bytes: int, turn: int) -> DataFrame:
+    """``wanted`` stretches split by a further anchor: PARENT, offset in it, STRETCH of the part, n, doc_id and start of its bytes."""
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        rows = []
+        for doc_id, text, wanted_here in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("wanted").to_pylist(), strict=True):
+            data = text.encode()
+            for w in wanted_here:
+                parent = tuple(w[c] for c in STRETCH)
+                for offset, width, place, anchor, content in split(data[w["start"] : w["start"] + w["width"] + length], w["anchor"], w["place"], length, turn).tolist():
+                    rows.append((*parent, offset, anchor, content, width, place, w["n"], doc_id, w["start"] + offset))
+        return dict(zip((*PARENT, "offset", *STRETCH, "n", "doc_id", "start"), map(list, zip(*rows, strict=True)), strict=True))
 
-    schema = "anchor long, content long, width smallint, place smallint, n long, data binary, hashes array<long>"
-    return map_batches(both.join(lists, "doc_id").select("text", "wanted"), run, schema)
+    own = "anchor long, {0}content long, {0}width smallint, {0}place smallint"
+    schema = "of_" + own.format("of_") + ", offset int, " + own.format("") + ", n long, doc_id long, start int"
+    return map_batches(with_lists(wanted, docs, most_bytes).select("doc_id", "text", "wanted"), run, schema)
 
 
 def by_suffix_arrays(stretches: DataFrame, length: int) -> DataFrame:
@@ -107,7 +137,7 @@ def by_suffix_arrays(stretches: DataFrame, length: int) -> DataFrame:
 
 def by_counts(stretches: DataFrame) -> DataFrame:
     """The same for anchors with very many stretches: strings are counted by anchor, place and hash."""
-    each = stretches.select(*STRETCH, "n", F.posexplode("hashes").alias("at", "hash")).withColumn("from", F.col("place") - F.col("at"))
+    each = stretches.select(*STRETCH, "n", F.posexplode("data").alias("at", "hash")).withColumn("from", F.col("place") - F.col("at"))
     counted = each.groupBy(F.col("anchor").alias("_a"), F.col("from").alias("_f"), F.col("hash").alias("_h")).agg(F.sum("n").alias("_n")).where("_n > 1")
     hit = each.join(counted, (F.col("anchor") == F.col("_a")) & (F.col("from") == F.col("_f")) & (F.col("hash") == F.col("_h")))
     return hit.groupBy(*STRETCH).agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))).alias("spans"))
@@ -119,19 +149,38 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, length: int, most: int, mos
     twice = staged(each.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("_anchor")), "anchors")
     met = staged(each.join(small(twice, twice.count(), 32, most_bytes), F.col("anchor") == F.col("_anchor")).drop("_anchor"), "met")
     stretches = staged(met.groupBy(*STRETCH).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("at")), "stretches")
+    spans = staged(spans_of(stretches, docs, length, most, most_bytes), "spans")
+    by_doc = moved(met.select("doc_id", *STRETCH, "start").join(spans, STRETCH), "start").groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    return by_doc.select("doc_id", joined_runs(F.col("spans"), length).alias("spans"))
+
+
+def moved(rows: DataFrame, by: str) -> DataFrame:
+    """A row ``s`` for each of the rows' spans, in the place that ``by`` gives them."""
+    return rows.withColumn("s", F.explode(F.transform("spans", lambda s: F.struct((F.col(by) + s["lo"]).alias("lo"), (F.col(by) + s["hi"]).alias("hi")))))
+
+
+def spans_of(stretches: DataFrame, docs: DataFrame, length: int, most: int, most_bytes: int, turn: int = 0) -> DataFrame:
+    """STRETCH and the runs of its starts whose strings repeat. ``stretches``: STRETCH, how many there are (n), and where one lies (at)."""
     kinds = staged(stretches.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     # small: no anchor's stretches meet in a task; large: an anchor is one row here, so that AQE splits those of a hot one
-    kinds = small(kinds, kinds.count(), 40, most_bytes)
-    several = stretches.join(kinds, F.col("anchor") == F.col("_anchor"))
-    wanted = staged(several.select(*STRETCH, "n", "at.doc_id", "at.start", (F.col("kinds") > most).alias("large")), "wanted")
-    fetched = staged(bytes_of(wanted, docs, length, most_bytes), "bytes")
-    compared = by_suffix_arrays(fetched.where("data is not null"), length).unionByName(by_counts(fetched.where("hashes is not null")))
+    counted = small(kinds, kinds.count(), 40, most_bytes)
+    several = stretches.join(counted, F.col("anchor") == F.col("_anchor"))
+    wanted = staged(several.select(*STRETCH, "n", "at.doc_id", "at.start", "kinds"), "wanted")
+    found = by_suffix_arrays(staged(bytes_of(wanted.where(F.col("kinds") <= most), docs, length, most_bytes), "bytes"), length)
     # a stretch with copies and nothing else under its anchor is repeated as a whole
-    alone = stretches.join(kinds, F.col("anchor") == F.col("_anchor"), "left_anti").select(*STRETCH, F.array(F.struct(F.lit(0).alias("lo"), F.col("width").cast("int").alias("hi"))).alias("spans"))
-    spans = staged(compared.unionByName(alone), "spans")
-    back = met.join(spans, STRETCH).select("doc_id", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["lo"]).alias("lo"), (F.col("start") + s["hi"]).alias("hi")))).alias("s"))
-    by_doc = back.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
-    return by_doc.select("doc_id", joined_runs(F.col("spans"), length).alias("spans"))
+    alone = stretches.join(counted, F.col("anchor") == F.col("_anchor"), "left_anti").where("n > 1")
+    found = found.unionByName(alone.select(*STRETCH, F.array(F.struct(F.lit(0).alias("lo"), F.col("width").cast("int").alias("hi"))).alias("spans")))
+    hot = wanted.where(F.col("kinds") > most)
+    if hot.isEmpty():
+        return found
+    if turn == ROUNDS:
+        return found.unionByName(by_counts(staged(bytes_of(hot, docs, length, most_bytes, hashed=True), "hashes")))
+    parts = staged(parts_of(hot, docs, length, most_bytes, turn), "parts")
+    below = staged(parts.groupBy(*STRETCH).agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start")).alias("at")), "stretches")
+    spans = staged(spans_of(below, docs, length, most, most_bytes, turn + 1), "spans")
+    spans = small(spans, spans.count(), 128, most_bytes)
+    lifted = moved(parts.select(*PARENT, "offset", *STRETCH).join(spans, STRETCH), "offset").groupBy(*PARENT).agg(F.collect_list("s").alias("spans"))
+    return found.unionByName(lifted.withColumnsRenamed(dict(zip(PARENT, STRETCH, strict=True))))
 
 
 def joined_runs(spans: Column, length: int) -> Column:
@@ -157,7 +206,7 @@ def covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = 400, most: int = 4000, most_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+def without_repeats(docs: DataFrame, length: int = 400, most: int = 256, most_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """(all rows with n_bytes and digest, doc_id and what is left of those that lose bytes)."""
     rows = staged(marked(docs, length), "marked")
     spans = staged(repeated_spans(docs, rows, length, most, most_bytes), "doc_spans")
@@ -180,7 +229,7 @@ def without_repeats(docs: DataFrame, length: int = 400, most: int = 4000, most_b
     return rows, map_batches(both, run, "doc_id long, n_removed long, n_spans long, kept binary")
 
 
-def removed_repeats(docs: DataFrame, length: int = 400, most: int = 4000) -> DataFrame:
+def removed_repeats(docs: DataFrame, length: int = 400, most: int = 256) -> DataFrame:
     """Per row: bytes, bytes and runs removed, and the digest of what is left, over every whole text.
 
     A string also repeats where it starts elsewhere in its own text, overlaps

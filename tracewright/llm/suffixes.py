@@ -145,19 +145,45 @@ def anchors(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.zeros((0, 5), dtype=np.int64) for f in found]
 
 
+def least_places(grams: np.ndarray, span: int, count: int) -> np.ndarray:
+    """The place of the least of each ``span`` grams in a row, the left of equals."""
+    least = (grams & ~_PLACE) | np.arange(len(grams), dtype=U)
+    size = 1
+    while 2 * size <= span:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    return (np.minimum(least[:count], least[span - size : span - size + count]) & _PLACE).astype(np.int64)
+
+
+def split(data: bytes, anchor: int, place: int, length: int, turn: int) -> np.ndarray:
+    """A stretch's bytes as rows (offset, width, place, anchor, content), by a further anchor of each string.
+
+    The further anchor is the gram of least hash in another order for each
+    ``turn``. A part's anchor stands for the old one, the further one and how
+    far apart they are: equal strings of one old anchor keep an anchor in common.
+    """
+    n, span = len(data), length - GRAM + 1
+    up, down = powers(n)
+    total = np.concatenate((np.zeros(1, U), np.cumsum(_TABLE[np.frombuffer(data, np.uint8)] * up, dtype=U)))
+    grams = mixed(mixed((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1]) + U(turn + 1))
+    at = least_places(grams, span, n - length + 1)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    last = np.append(first[1:], len(at)) - 1
+    a = at[first]
+    apart = (a - place).astype(np.int64).view(U)
+    both = mixed(mixed(grams[a] + apart) + np.int64(anchor).view(U))
+    content = mixed((total[last + length] - total[first]) * down[first])
+    return np.stack([first, last - first, a - first, both.view(np.int64), content.view(np.int64)], axis=1)
+
+
 def _anchors_of(group: list[tuple[int, int, bytes]], length: int, found: list[list[np.ndarray]]) -> None:
     data = np.frombuffer(b"".join(p for *_, p in group), dtype=np.uint8)
     n, span = len(data), length - GRAM + 1
     up, down = powers(n)
     total = np.concatenate((np.zeros(1, U), np.cumsum(_TABLE[data] * up, dtype=U)))
     grams = mixed((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
-    least = (grams & ~_PLACE) | np.arange(len(grams), dtype=U)
-    size = 1
-    while 2 * size <= span:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
     count = n - length + 1
-    anchor = (np.minimum(least[:count], least[span - size : span - size + count]) & _PLACE).astype(np.int64)
+    anchor = least_places(grams, span, count)
     begins = np.cumsum([0] + [len(p) for *_, p in group])
     change = np.zeros(n + 1, dtype=np.int8)
     change[begins[:-1]] += 1

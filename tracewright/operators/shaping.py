@@ -100,3 +100,27 @@ def ledger_points(bank: DataFrame, phones: DataFrame) -> DataFrame:
     city = F.col("Sender_City") if "Sender_City" in bank.columns else F.lit(None).cast("string")
     joined = rows.join(phones.select(F.col("phone").alias("_phone"), "entity_id"), F.col("Sender_Phone_Number") == F.col("_phone"))
     return joined.select("entity_id", F.col("Timestamp").alias("ts"), lat.alias("lat"), lon.alias("lon"), F.lit("bank").alias("source"), F.col("Transaction_ID").cast("string").alias("event_id"), city.alias("city"))
+
+
+def sampled(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """``n`` rows, the same for the same keys and seed, however the rows are spread."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """All rows in an order that tells nothing, the same for the same keys and seed."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
+
+
+def chains(seeds: DataFrame, hops: int, factor: float = 0.9, least: int = 30, most: int = 600) -> DataFrame:
+    """Chains of transfers for fixtures: each seed (id, src, dst, ts, amount), then ``hops`` more, in each of which the last receiver sends on.
+
+    The n-th comes ``least`` to ``most`` seconds after the one before, by arithmetic on id and hop, with ``factor`` of its amount.
+    """
+    step = lambda k: F.lit(least) + (F.col("id") * 7919 + k * 104_729) % (most - least + 1)
+    rows = seeds.withColumn("hop", F.explode(F.sequence(F.lit(0), F.lit(hops))))
+    waited = F.aggregate(F.sequence(F.lit(0), F.col("hop")), F.lit(0).cast("bigint"), lambda a, k: a + F.when(k > 0, step(k)).otherwise(0))
+    rows = rows.withColumn("waited", waited)
+    name = lambda k: F.concat("dst", F.when(k > 0, F.concat(F.lit("#"), k.cast("string"))).otherwise(""))
+    src = F.when(F.col("hop") == 0, F.col("src")).otherwise(name(F.col("hop") - 1))
+    return rows.select(F.concat("id", F.lit("-"), F.col("hop").cast("string")).alias("id"), src.alias("src"), name(F.col("hop")).alias("dst"), (F.col("ts") + F.make_dt_interval(secs=F.col("waited").cast("decimal(18,6)"))).alias("ts"), F.round(F.col("amount") * F.pow(F.lit(factor), F.col("hop")), 2).alias("amount"))

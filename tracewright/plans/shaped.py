@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import identifiers as ids
-from tracewright.operators import audit, shaping, statements
+from tracewright.operators import audit, entities, shaping, statements
 from tracewright.plans.fragments import GEO, K, LEDGER, SIGNALS
 from tracewright.plans.registry import query
 from tracewright.sources import adapters as ad
@@ -185,3 +185,53 @@ def verified_overlap(spark, d):
     persons = ad.table(spark, d, "customer").select(F.col("c_custkey").alias("person"), F.col("c_custkey").alias("phone"))
     return audit.verified_overlap(persons, bank=ad.table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"), calls=ad.table(spark, d, "events").select("user_id")).drop("phone")
 
+
+
+@query("select o_orderkey, o_custkey from orders order by md5('7:' || o_orderkey), o_orderkey limit 100")
+def sampled_orders(spark, d):
+    return shaping.sampled(ad.table(spark, d, "orders"), 100, "o_orderkey", seed=7).select("o_orderkey", "o_custkey")
+
+
+@query("""with recursive x as (select o_orderkey as id, 0 as hop, 'c' || o_custkey as src, 'r' || o_orderkey as dst, cast(o_orderdate as timestamp) as ts, o_totalprice as amount, 'r' || o_orderkey as root from orders where o_orderstatus = 'P'
+  union all select id, hop + 1, dst, root || '#' || (hop + 1), ts + to_seconds(30 + (id * 7919 + (hop + 1) * 104729) % 571), amount, root from x where hop < 4)
+  select id || '-' || hop as id, src, dst, ts, round(amount * power(0.9, hop), 2) as amount from x""")
+def transfer_chains(spark, d):
+    o = ad.table(spark, d, "orders").where("o_orderstatus = 'P'")
+    key = F.col("o_orderkey").cast("string")
+    seeds = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("r"), key).alias("dst"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").alias("amount"))
+    return shaping.chains(seeds, 4)
+
+
+# ---- entity resolution over three sources
+
+#: The oracle knows the components: users share a handset by threes, and a call names the next number as receiver without linking it.
+SOURCES = """u as (select distinct user_id as id from events), called as (select distinct user_id + 1 as id from events where event_type in ('signup', 'error')), c as (select distinct o_custkey as id from orders),
+  p as (select id from u union select id from called union select id from c),
+  e as (select p.id, 'phone:' || (9000000000 + case when p.id in (select id from u) then (select min(id) from u x where x.id // 3 = p.id // 3) else p.id end) as entity_id from p)"""
+
+
+@query(f"""with {SOURCES} select 'phone' as kind, (9000000000 + id)::varchar as value, entity_id from e union all select 'account', 'A' || id, entity_id from e where id in (select id from c)
+  union all select distinct 'imei', (351000000000000 + id // 3)::varchar, entity_id from e where id in (select id from u)
+  union all select distinct 'ip', '49.1.' || (id // 3) || '.1', entity_id from e where id in (select user_id from events where event_type not in ('signup', 'error'))
+  union all select distinct 'device', 'D' || id, entity_id from e where id in (select user_id from events where event_type not in ('signup', 'error'))""")
+def resolved_identifiers(spark, d):
+    return entities.resolve(*ad.investigation(spark, d), fuzzy_threshold=None)[0]
+
+
+@query(f"""with {SOURCES}, s as (select user_id as id from events where event_type not in ('signup', 'error')), k as (select user_id as id from events where event_type in ('signup', 'error')),
+  w as (select id, 'city' as kind, 'city ' || (id % 5) as value from c union select id, 'name', 'name ' || id from c union select id, 'upi', (9000000000 + id) || '@ok' from c union select id, 'city', 'city ' || (id % 7) from k union select id, 'network', 'net ' || (id % 4) from k union select id, 'name', 'caller ' || id from k union select id, 'ip', '10.0.0.' || id from s
+  union select id, 'ip', '49.1.' || (id // 3) || '.1' from s),
+  l as (select distinct entity_id, kind, value from e left join w using (id))
+  select entity_id, coalesce(string_agg(value, ',' order by value) filter (kind = 'city'), '') as cities, coalesce(string_agg(value, ',' order by value) filter (kind = 'name'), '') as names, coalesce(string_agg(value, ',' order by value) filter (kind = 'upi'), '') as upis, coalesce(string_agg(value, ',' order by value) filter (kind = 'network'), '') as networks, coalesce(string_agg(value, ',' order by value) filter (kind = 'ip'), '') as ips from l group by entity_id""")
+def resolved_entities(spark, d):
+    found = entities.resolve(*ad.investigation(spark, d), fuzzy_threshold=None)[1]
+    return found.select("entity_id", *(F.array_join(c, ",").alias(c.replace("network_providers", "networks")) for c in ("cities", "names", "upis", "network_providers", "ips")))
+
+
+@query(f"""with {SOURCES}, r as (select o_custkey as id, 'bank' as kind, 0 as other from orders union all select user_id, 'call', user_id + 1 from events where event_type in ('signup', 'error') union all select user_id, 'session', 0 from events where event_type not in ('signup', 'error')),
+  b as (select kind, x.entity_id, case when kind = 'call' then y.entity_id end as second from r join e x on x.id = r.id left join e y on y.id = r.other),
+  l as (select kind, entity_id from b union all select kind, second from b where second <> entity_id) select entity_id, kind, count(*) as n from l group by entity_id, kind""")
+def entity_signals(spark, d):
+    bank, calls, sessions = ad.investigation(spark, d)
+    mapped, _ = entities.resolve(bank, calls, sessions, fuzzy_threshold=None)
+    return entities.signals(bank, calls, sessions, mapped).groupBy("entity_id", "kind").agg(F.count("*").alias("n"))

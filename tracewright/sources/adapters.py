@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.session import scratch_dir
+from tracewright.sources import tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +54,19 @@ def as_csv(df: DataFrame, name: str) -> str:
     path = f"{scratch_dir(df.sparkSession)}/csv-{uuid.uuid4().hex}/{name}"
     df.write.option("header", True).csv(path)
     return path
+
+
+def investigation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as a ledger, events as calls and sessions, in the loaders' columns. Users share a handset and an address by threes."""
+    phone = lambda c: (F.lit(9000000000) + F.col(c)).cast("string")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    o = table(spark, sf_dir, "orders")
+    c = F.col("o_custkey")
+    bank = o.select(text("T", F.col("o_orderkey")).alias("Transaction_ID"), F.col("o_orderdate").cast("string").alias("Timestamp"), F.concat(phone("o_custkey"), F.lit(".0")).alias("Sender_Phone_Number"), F.concat(phone("o_custkey"), F.lit("@ok")).alias("Sender_UPI_ID"), text("A", c).alias("Sender_Account_Number"), text("City ", c % 5).alias("Sender_City"), text("Name ", c).alias("Sender_Customer_Name"))
+    e = table(spark, sf_dir, "events")
+    u, three = F.col("user_id"), F.floor(F.col("user_id") / 3)
+    imei = F.concat((F.lit(351000000000000) + three).cast("string"), F.lit(".0"))
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    calls = e.where("event_type in ('signup', 'error')").select(text("C", F.col("event_id")).alias("CDR_ID"), at.alias("Call_Start_Time"), phone("user_id").alias("Caller_MSISDN"), F.concat((F.lit(9000000000) + (u + 1)).cast("string")).alias("Receiver_MSISDN"), imei.alias("IMEI"), text("City ", u % 7).alias("Tower_City"), text("Net ", u % 4).alias("Network_Provider"), text("Caller ", u).alias("Caller_Name"))
+    sessions = e.where("event_type not in ('signup', 'error')").select(text("S", F.col("event_id")).alias("IPDR_ID"), at.alias("Session_Start_Time"), phone("user_id").alias("User_MSISDN"), imei.alias("IMEI"), F.concat(F.lit("49.1."), three.cast("string"), F.lit(".1")).alias("Public_IP_Address"), F.concat(F.lit("10.0.0."), u.cast("string")).alias("Private_IP_Address"), text("D", u).alias("Device_ID"))
+    return tables.by_name(bank, tables.BANK), tables.by_name(calls, tables.CALLS), tables.by_name(sessions, tables.SESSIONS)

@@ -123,4 +123,4 @@ def chains(seeds: DataFrame, hops: int, factor: float = 0.9, least: int = 30, mo
     rows = rows.withColumn("waited", waited)
     name = lambda k: F.concat("dst", F.when(k > 0, F.concat(F.lit("#"), k.cast("string"))).otherwise(""))
     src = F.when(F.col("hop") == 0, F.col("src")).otherwise(name(F.col("hop") - 1))
-    return rows.select(F.concat("id", F.lit("-"), F.col("hop").cast("string")).alias("id"), src.alias("src"), name(F.col("hop")).alias("dst"), (F.col("ts") + F.make_dt_interval(secs=F.col("waited").cast("decimal(18,6)"))).alias("ts"), F.round(F.col("amount") * F.pow(F.lit(factor), F.col("hop")), 2).alias("amount"))
+    return rows.select(F.concat("id", F.lit("-"), F.col("hop").cast("string")).alias("id"), src.alias("src"), name(F.col("hop")).alias("dst"), (F.col("ts") + F.make_dt_interval(secs=F.col("waited").cast("decimal(18,6)"))).alias("ts"), F.round(F.col("amount") * F.pow(F.lit(factor), F.col("hop")), 6).alias("amount"))

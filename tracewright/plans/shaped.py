@@ -194,7 +194,7 @@ def sampled_orders(spark, d):
 
 @query("""with recursive x as (select o_orderkey as id, 0 as hop, 'c' || o_custkey as src, 'r' || o_orderkey as dst, cast(o_orderdate as timestamp) as ts, o_totalprice as amount, 'r' || o_orderkey as root from orders where o_orderstatus = 'P'
   union all select id, hop + 1, dst, root || '#' || (hop + 1), ts + to_seconds(30 + (id * 7919 + (hop + 1) * 104729) % 571), amount, root from x where hop < 4)
-  select id || '-' || hop as id, src, dst, ts, round(amount * power(0.9, hop), 2) as amount from x""")
+  select id || '-' || hop as id, src, dst, ts, round(amount * power(0.9, hop), 6) as amount from x""")
 def transfer_chains(spark, d):
     o = ad.table(spark, d, "orders").where("o_orderstatus = 'P'")
     key = F.col("o_orderkey").cast("string")

@@ -116,18 +116,18 @@ def fit(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def least_overlap(n: str, m: str, percent: int) -> Column:
-    """Shingles that sets of these sizes share at least if they link."""
-    return F.ceil((percent * (F.col(n) + F.col(m))) / F.lit(100.0 + percent) - 1e-9)
+def enough(shared: Column, n: str, m: str, percent: int) -> Column:
+    """Whether so many shared shingles, of sets of these sizes, can be those of linked ones. Whole numbers alone: linked sets share percent / (100 + percent) of the sum."""
+    return (100 + percent) * shared >= percent * (F.col(n) + F.col(m))
 
 
 def may_link(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """The pairs of groups (xg, yg) whose prefixes share as many shingles as those of linked sets do."""
     own = [groups.select(F.col("gid").alias(f"{k}g"), F.col("n").alias(f"{k}n"), F.col("prefix").alias(f"{k}p")) for k in "xy"]
     both = pairs.join(own[0], "xg").join(own[1], "yg")
-    overlap = least_overlap("xn", "yn", percent)
-    least = F.least(F.size("xp") - F.col("xn") + overlap, F.size("yp") - F.col("yn") + overlap)
-    return both.where(F.size(F.array_intersect("xp", "yp")) >= least).select(*pairs.columns)
+    # of the shingles after the prefixes all may be shared, of the side that has fewer
+    after = F.greatest(F.col("xn") - F.size("xp"), F.col("yn") - F.size("yp"))
+    return both.where(enough(F.size(F.array_intersect("xp", "yp")) + after, "xn", "yn", percent)).select(*pairs.columns)
 
 
 def provisional(lists: DataFrame, of_group: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,23 +182,20 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     inside = units.join(mixed, "gid").select("gid", "rep", "comp")
     within = inside.alias("x").join(inside.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-    x = mixed_lists.where("comp <> main").alias("x")
-    y = mixed_lists.alias("y")
+    x = mixed_lists.where("comp <> main").select("token", *(F.col(c).alias(f"x{c}") for c in ("gid", "comp", "n", "pos")))
+    y = mixed_lists.select("token", *(F.col(c).alias(f"y{c}") for c in ("gid", "comp", "n", "pos", "main")))
     # members of the main component are never paired with each other
-    crossing = (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp"))
-    crossing &= (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
-    crossing &= 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    crossing = x.join(y, "token").where("xgid <> ygid and xcomp <> ycomp and (ycomp = ymain or xcomp < ycomp)").where(fit("xn", "yn", percent))
     # the first shingle that two linked sets share leaves enough shingles after it in both
-    crossing &= (F.col("x.pos") <= F.col("x.n") - least_overlap("x.n", "y.n", percent)) & (F.col("y.pos") <= F.col("y.n") - least_overlap("x.n", "y.n", percent))
-    ends = [F.struct(F.col(f"{k}.comp").alias("comp"), F.col(f"{k}.gid").alias("gid"), F.col(f"{k}.n").alias("n")) for k in "xy"]
+    crossing = crossing.where(enough(F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")), "xn", "yn", percent))
     # a pair may meet either way round, as its lists have different main components
-    pair = x.join(y, crossing).select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
-    pair = pair.select(F.col("p.gid").alias("xg"), F.col("p.comp").alias("xc"), F.col("q.gid").alias("yg"), F.col("q.comp").alias("yc"))
+    ends = {"xg": F.least("xgid", "ygid"), "xc": F.when(F.col("xgid") < F.col("ygid"), F.col("xcomp")).otherwise(F.col("ycomp")), "yg": F.greatest("xgid", "ygid"), "yc": F.when(F.col("xgid") < F.col("ygid"), F.col("ycomp")).otherwise(F.col("xcomp"))}
+    pair = crossing.select(*(c.alias(n) for n, c in ends.items())).distinct()
     # and so many that their prefixes share a number of them
-    enough = may_link(pair, groups, percent)
+    likely = may_link(pair, groups, percent)
     left = units.select(F.col("gid").alias("xg"), F.col("comp").alias("xc"), F.col("rep").alias("a"))
     right = units.select(F.col("gid").alias("yg"), F.col("comp").alias("yc"), F.col("rep").alias("b"))
-    second = enough.join(left, ["xg", "xc"]).join(right, ["yg", "yc"]).select("a", "b").union(within)
+    second = likely.join(left, ["xg", "xc"]).join(right, ["yg", "yc"]).select("a", "b").union(within)
     two = checked(docs, second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size, percent)
     release(lists, units, mixed_lists, groups, of_group)
     return members, one.union(two)
@@ -223,7 +220,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, or any row if none has one. Repeated rows are near copies too."""
+    """``docs`` with one row of each component: the smallest doc_id, or any row if none has one. Repeated rows are near copies too.
+
+    Where doc_id names one row each, it is the rows' name; else rows are
+    numbered, which takes a few joins more.
+    """
+    named = docs.agg((F.count("*") == F.count_distinct("doc_id")).alias("u")).first()["u"]
+    if named:
+        lost = near_duplicates(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("lost"))
+        return docs.join(lost, docs["doc_id"] == lost["lost"], "left_anti")  # of ``docs`` no column but its own is named
     rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), packed(docs)), "rows")
     plain = rows.select("row", F.col("own.doc_id").alias("doc_id"), F.col("own.text").alias("text"))
     found = near_duplicates(plain.select(F.col("row").alias("doc_id"), "text"), size, percent).where("doc_id <> component_id")

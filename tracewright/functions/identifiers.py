@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,6 +145,31 @@ def channel_of_mode(mode: Column | str, key: Column | str) -> Column:
     return found.otherwise(shared_out(_col(key), OTHER_SHARES))
 
 
+#: Narrations of made statements by mode: of what is paid, of what is received. {ref} and {name} are filled in.
+NARRATIONS = {
+    "UPI": ("UPI-{name}@ok-{ref}", "UPI-{name}@ok-{ref}-CR"),
+    "IMPS": ("IMPS-{ref}-{name}", "IMPS-{ref}-{name}-CR"),
+    "NEFT": ("NEFT DR-{ref}-{name}", "NEFT CR-{ref}-{name}"),
+    "ATM": ("ATM {ref}", "ATM REVERSAL {ref}"),
+    "Cash Deposit": ("CASH {ref}", "BY CASH {ref}"),
+    None: ("TXN {ref}", "TXN {ref} CR"),
+}
+
+
+def narration(mode: Column | str, paid: Column | str, ref: Column | str, name: Column | str) -> Column:
+    """The narration of a made transfer, by its mode and side."""
+    fill = {"{ref}": _col(ref), "{name}": _col(name)}
+
+    def text(template: str) -> Column:
+        return F.concat(*(fill.get(part, F.lit(part)) for part in re.split(r"(\{\w+\})", template) if part))
+
+    found = F
+    for m, (out, back) in NARRATIONS.items():
+        one = F.when(_col(paid), text(out)).otherwise(text(back))
+        found = found.otherwise(one) if m is None else found.when(_col(mode) == m, one)
+    return found
+
+
 #: Merchants that a mode implies.
 MODE_MERCHANTS = {"ATM": "ATM Withdrawal", "Cash Deposit": "Cash Deposit"}
 

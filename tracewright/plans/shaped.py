@@ -101,6 +101,16 @@ def channels_and_merchants(spark, d):
     return o.select("id", ids.channel_of_mode("mode", "id").alias("channel"), "merchant", ids.merchant_category("merchant", {"Shop 0": "Food", "Shop 1": "Travel"}).alias("category"))
 
 
+@query("""with m as (select o_orderkey as id, case o_orderkey % 6 when 0 then 'UPI' when 1 then 'IMPS' when 2 then 'NEFT' when 3 then 'ATM' when 4 then 'Cash Deposit' else 'POS' end as mode, o_orderstatus = 'F' as paid, o_orderkey::varchar as ref, 'n' || o_custkey as name from orders),
+  t as (select id, case mode when 'UPI' then 'UPI-' || name || '@ok-' || ref || case when paid then '' else '-CR' end when 'IMPS' then 'IMPS-' || ref || '-' || name || case when paid then '' else '-CR' end when 'NEFT' then 'NEFT ' || case when paid then 'DR' else 'CR' end || '-' || ref || '-' || name when 'ATM' then 'ATM ' || case when paid then '' else 'REVERSAL ' end || ref when 'Cash Deposit' then case when paid then '' else 'BY ' end || 'CASH ' || ref else 'TXN ' || ref || case when paid then '' else ' CR' end end as narration, mode from m)
+  select id, narration, case when mode = 'Cash Deposit' then 'CASH' when mode = 'POS' then 'OTHER' else mode end as kind from t""")
+def made_narrations(spark, d):
+    o = ad.table(spark, d, "orders")
+    mode = F.expr("case o_orderkey % 6 when 0 then 'UPI' when 1 then 'IMPS' when 2 then 'NEFT' when 3 then 'ATM' when 4 then 'Cash Deposit' else 'POS' end")
+    made = o.select(F.col("o_orderkey").alias("id"), ids.narration(mode, F.col("o_orderstatus") == "F", F.col("o_orderkey").cast("string"), F.concat(F.lit("n"), F.col("o_custkey").cast("string"))).alias("narration"))
+    return made.withColumn("kind", ids.transaction_type("narration"))
+
+
 @query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else '.' || lpad((epoch_us(ts) % 1000000)::varchar, 6, '0') end as iso from events")
 def iso_times(spark, d):
     return ad.table(spark, d, "events").select("event_id", ids.iso_time("ts").alias("iso"))

@@ -44,7 +44,7 @@ def csv_inferred(spark, d):
     return tables.read_inferred(spark, bank_csv(spark, d)).select("Transaction_ID", "Timestamp", "Transaction_Amount", "Sender_Phone_Number")
 
 
-@query(f"""select 'C' || event_id as "CDR_ID", date_trunc('second', ts) as "Call_Start_Time", (9000000000 + user_id)::varchar as "Caller_MSISDN", case when {K} % 2 = 0 then (351000000000000 + user_id)::varchar end as "IMEI", {K} as "Call_Duration_Seconds", (8 + (29 * {K} % 2900) / 100.0)::double as "Latitude", null::varchar as "Subscriber_ID" from events where event_type in ('signup', 'error')""")
+@query(f"""select 'C' || event_id as "CDR_ID", date_trunc('second', ts) as "Call_Start_Time", (9000000000 + user_id)::varchar as "Caller_MSISDN", case when {K} % 2 = 0 then (351000000000000 + user_id)::varchar end as "IMEI", {K}::bigint as "Call_Duration_Seconds", (8 + (29 * {K} % 2900) / 100.0)::double as "Latitude", null::varchar as "Subscriber_ID" from events where event_type in ('signup', 'error')""")
 def csv_calls(spark, d):
     e = ad.table(spark, d, "events").where("event_type in ('signup', 'error')").withColumn("k", ad.prop())
     rows = e.select(F.concat(F.lit("C"), F.col("event_id").cast("string")).alias("CDR_ID"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Call_Start_Time"), (F.lit(9000000000) + F.col("user_id")).cast("string").alias("Caller_MSISDN"), F.when(F.col("k") % 2 == 0, F.concat((F.lit(351000000000000) + F.col("user_id")).cast("string"), F.lit(".0"))).otherwise("NULL").alias("IMEI"), F.concat(F.col("k").cast("string"), F.lit(".0")).alias("Call_Duration_Seconds"), (8 + (29 * F.col("k") % 2900) / 100.0).alias("Latitude"))

@@ -112,9 +112,16 @@ def test_token_files_of_odd_ids(spark, word_bpe, tmp_path):
 def test_dictionary_sample_is_bounded(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), "id").alias("text")).withColumn("salt", F.xxhash64("text"))
     long = docs.limit(1).select("doc_id", F.repeat("text", 9000).alias("text"), "salt")
-    total = docs.agg(F.sum(F.length("text"))).first()[0]
-    chosen = token_files.sample_for_dictionary(docs.union(long), total, total // 10, 65_536)
-    assert 250 < len(chosen) < 600 and max(map(len, chosen)) < 100
+    total, chosen = token_files.size_and_sample(docs.union(long), 4001, 400, 16_384)
+    assert total > 9000 * 20 and 250 < len(chosen) < 600 and max(map(len, chosen)) < 100
+    assert token_files.size_and_sample(docs.where("false"), 1, 400, 16_384) == (0, [])
+
+
+def test_units_met_twice_before_they_are_learned(word_bpe):
+    library, own = word_bpe[0], token_files.Encoder(vocabulary("word_bpe_49k.json"), remembered=4)
+    for texts in (["ab cd", "cd ef ab", "<|endoftext|> cd", "x1 cd, don't", "cd ef"], ["gh", "ab gh"], [], ["ab cd"]):
+        assert own.ids(texts) == [struct.pack(f"<{len(i)}I", *i) for t in texts for i in [library.encode(t, add_special_tokens=False).ids]]
+        assert len(own.known) <= 12
 
 
 def test_pieces(documents, empty, piece_bpe):

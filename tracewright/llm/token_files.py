@@ -65,7 +65,7 @@ class Encoder:
     ASCII white space in other texts.
     """
 
-    def __init__(self, tokenizer_json: bytes, remembered: int = 300_000):
+    def __init__(self, tokenizer_json: bytes, remembered: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has dealt the cores out
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.remembered, self.known, self.table = remembered, _Places(), []
@@ -96,15 +96,16 @@ class Encoder:
 
     def learn(self, units: list[str], first: int) -> None:
         """Fill the table from ``first`` on. Runs of letters are one pre-token each and go to the library as one text; the rest one by one."""
-        letters = [(u, k) for k, u in enumerate(units, first) if u.isalpha() and u.islower()]
-        e = self.tokenizer.encode(" ".join(u for u, _ in letters), add_special_tokens=False)
-        ends = np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(letters) + 1))
+        alone = [k for k, u in enumerate(units) if not (u.isalpha() and u.islower())]
+        out = [""] * len(alone)
+        for i, k in enumerate(alone):
+            out[i], units[k] = units[k], "a"  # a run of letters in its place, whose ids are written over
+        e = self.tokenizer.encode(" ".join(units), add_special_tokens=False)
+        ends = np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(units) + 1))
         data, at = np.array(e.ids, dtype="<u4").tobytes(), (4 * ends).tolist()
-        for (_, k), a, b in zip(letters, at, at[1:]):
-            self.table[k] = data[a:b]
-        others = [(u, k) for k, u in enumerate(units, first) if not (u.isalpha() and u.islower())]
-        for (_, k), e in zip(others, self.tokenizer.encode_batch_fast([u for u, _ in others], add_special_tokens=False), strict=True):
-            self.table[k] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.table[first : first + len(units)] = [data[a:b] for a, b in zip(at, at[1:])]
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast(out, add_special_tokens=False), strict=True):
+            self.table[first + k] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -188,15 +189,14 @@ def as_uri(path: str) -> str:
     return path if re.match(r"\w+:/", path) else f"file://{path}"
 
 
-def sample_for_dictionary(rows: DataFrame, total: int, sample_bytes: int, longest: int) -> list[str]:
-    """Whole texts of up to ``longest`` bytes, chosen by a hash at a rate that gives about ``sample_bytes`` of them."""
-    rate = min(1.0, sample_bytes / max(1, total))
-    chosen = rows.where((F.pmod(F.xxhash64("doc_id", "salt"), F.lit(1 << 30)) < int(rate * (1 << 30))) & (F.octet_length("text") <= longest))
-    return [r.text for r in chosen.select("text").collect()]  # about sample_bytes
+def size_and_sample(rows: DataFrame, n: int, sample: int, longest: int) -> tuple[int, list[str]]:
+    """Bytes of all ``n`` texts, and about ``sample`` whole texts of up to ``longest`` bytes, chosen by a hash, in one pass."""
+    chosen = (F.pmod(F.xxhash64("doc_id", "salt"), F.lit(n)) < sample) & (F.octet_length("text") <= longest)
+    return tuple(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.collect_list(F.when(chosen, F.col("text")))).first())
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer_json: bytes, folder: str, end_id: int = 2, level: int = 3, sample_bytes: int = 5 << 20, longest: int = 1 << 16, range_bytes: int = 512 << 20, shard_bytes: int = 32 << 20
+    docs: DataFrame, tokenizer_json: bytes, folder: str, end_id: int = 2, level: int = 3, sample: int = 1500, longest: int = 1 << 14, range_bytes: int = 512 << 20, shard_bytes: int = 32 << 20
 ) -> list[tuple[str, int, int]]:
     """Write the shards; return (path, documents, ids) of each, in the order of doc_id.
 
@@ -204,19 +204,19 @@ def write_token_files(
     ``range_bytes`` of text or less, so a doc_id of very many rows (or null)
     is split too and no task depends on how rows are spread over sources. A
     shard ends at ``shard_bytes`` of frames; frames go to the file as they
-    come. The dictionary is trained on about ``sample_bytes`` of whole texts,
-    none over ``longest`` (long ones gain nothing by it); it affects sizes
-    only. Null and empty texts are documents of the end id alone; rows without
+    come. The dictionary is trained on about ``sample`` whole texts of up to
+    ``longest`` bytes (long ones gain little by it); it affects sizes only. Null and empty texts are documents of the end id alone; rows without
     doc_id come first, then the smallest, also negative ones; repeated rows
     are kept, in the order of their texts' hashes.
     """
     spark, folder = docs.sparkSession, as_uri(folder)
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("salt", F.xxhash64("text"))
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = rows.count()  # of Parquet from its footers
     if not n:
         return []
-    dictionary = train_dictionary([x for x in encoder(tokenizer_json).ids(sample_for_dictionary(rows, total, sample_bytes, longest)) if x]).as_bytes()
+    total, texts = size_and_sample(rows, n, sample, longest)
+    dictionary = train_dictionary([x for x in encoder(tokenizer_json).ids(texts) if x]).as_bytes()
     put(f"{folder}/dictionary.zstd", [dictionary])
     told, end = spark.sparkContext.broadcast((tokenizer_json, dictionary)), struct.pack("<I", end_id)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))

@@ -150,13 +150,14 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, length: int, most: int, mos
     met = staged(each.join(small(twice, twice.count(), 32, most_bytes), F.col("anchor") == F.col("_anchor")).drop("_anchor"), "met")
     stretches = staged(met.groupBy(*STRETCH).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("at")), "stretches")
     spans = staged(spans_of(stretches, docs, length, most, most_bytes), "spans")
-    by_doc = moved(met.select("doc_id", *STRETCH, "start").join(spans, STRETCH), "start").groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    back = met.select("doc_id", *STRETCH, "start").join(spans, STRETCH).select("doc_id", F.explode(moved("start")).alias("s"))
+    by_doc = back.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
     return by_doc.select("doc_id", joined_runs(F.col("spans"), length).alias("spans"))
 
 
-def moved(rows: DataFrame, by: str) -> DataFrame:
-    """A row ``s`` for each of the rows' spans, in the place that ``by`` gives them."""
-    return rows.withColumn("s", F.explode(F.transform("spans", lambda s: F.struct((F.col(by) + s["lo"]).alias("lo"), (F.col(by) + s["hi"]).alias("hi")))))
+def moved(by: str) -> Column:
+    """The column ``spans``, each in the place that the column ``by`` gives it."""
+    return F.transform("spans", lambda s: F.struct((F.col(by) + s["lo"]).alias("lo"), (F.col(by) + s["hi"]).alias("hi")))
 
 
 def spans_of(stretches: DataFrame, docs: DataFrame, length: int, most: int, most_bytes: int, turn: int = 0) -> DataFrame:
@@ -179,7 +180,8 @@ def spans_of(stretches: DataFrame, docs: DataFrame, length: int, most: int, most
     below = staged(parts.groupBy(*STRETCH).agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start")).alias("at")), "stretches")
     spans = staged(spans_of(below, docs, length, most, most_bytes, turn + 1), "spans")
     spans = small(spans, spans.count(), 128, most_bytes)
-    lifted = moved(parts.select(*PARENT, "offset", *STRETCH).join(spans, STRETCH), "offset").groupBy(*PARENT).agg(F.collect_list("s").alias("spans"))
+    # a stretch has few parts, so their lists are joined as they are
+    lifted = parts.select(*PARENT, "offset", *STRETCH).join(spans, STRETCH).groupBy(*PARENT).agg(F.flatten(F.collect_list(moved("offset"))).alias("spans"))
     return found.unionByName(lifted.withColumnsRenamed(dict(zip(PARENT, STRETCH, strict=True))))
 
 

@@ -57,3 +57,11 @@ def test_a_dense_day_is_written_once(spark):
     found = detectors.co_location(df)
     assert sum(r["point_count"] for r in found.collect()) == 20000
     assert size() - before < 4_000_000
+
+
+def test_farms_with_lists_shuffle_once(spark):
+    """The numbers of a handset are counted from their list, not shuffled pair by pair beside it."""
+    pairs = spark.createDataFrame([("i", "a", "cdr"), ("i", "b", "ipdr"), ("i", "a", "cdr"), ("i", None, "cdr")], "imei string, msisdn string, source string")
+    found = detectors.device_farms(pairs, top_n=None)
+    assert [(r["sim_count"], r["msisdns"], r["total_record_count"]) for r in found.collect()] == [(2, ["a", "b"], 3)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Aggregate(") == 2
